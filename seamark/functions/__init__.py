@@ -1 +1 @@
-
+"""Column functions: all stay in the JVM."""
