@@ -1,17 +1,454 @@
-"""All queries over the fixture tables, with their SQL."""
+"""All queries over the fixture tables, with the SQL that says the same."""
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from ..functions import text as T
+from ..functions import vector as V
+from ..operators import ann, chunk, evaluate, inspect, search, sync
+from ..tables import durable, table
 
 Query = Callable[[SparkSession, str], DataFrame]
+_QUERIES: dict[str, Query] = {}
+_SQL: dict[str, str] = {}
+
+
+def query(sql: str | None = None) -> Callable[[Query], Query]:
+    def register(f: Query) -> Query:
+        _QUERIES[f.__name__] = f
+        if sql:
+            _SQL[f.__name__] = sql
+        return f
+
+    return register
 
 
 def queries() -> dict[str, Query]:
-    return {}
+    return dict(_QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return dict(_SQL)
+
+
+# The fixture tables as an index: documents are files and chunks, embeddings their vectors, benchmark items queries.
+
+
+def _docs(s: SparkSession, d: str) -> DataFrame:
+    return table(s, d, "documents").select("doc_id", "text", "source", "lang")
+
+
+def _path() -> Column:
+    return F.concat(F.col("source"), F.lit("/doc_"), F.col("doc_id").cast("string"), F.lit(".txt"))
+
+
+def _chunks(s: SparkSession, d: str) -> DataFrame:
+    return _docs(s, d).select(F.col("doc_id").alias("vector_id"), _path().alias("file_path"), F.col("text").alias("content"))
+
+
+def _vectors(s: SparkSession, d: str) -> DataFrame:
+    return table(s, d, "embeddings").select(F.col("vec_id").alias("vector_id"), "embedding")
+
+
+#: 20 queries: a benchmark item's text and the vector whose id is 7 times its own.
+_QUERY_ITEMS = 20
+
+
+def _asked(s: SparkSession, d: str) -> DataFrame:
+    items = table(s, d, "benchmark").where(F.col("item_id") < _QUERY_ITEMS).select(F.col("item_id").alias("qid"), "text")
+    return items.join(_vectors(s, d).select((F.col("vector_id") / 7).alias("k"), F.col("embedding").alias("vector")), F.col("qid") == F.col("k")).drop("k")
+
+
+_TOKENS = "list_transform(list_filter(string_split_regex(coalesce({0}, ''), '[^A-Za-z0-9_]+'), lambda t: length(t) >= 2), lambda t: lower(t))"
+_COS = "list_sum(list_transform(range(1, 65), lambda i: {0}[i]::DOUBLE * {1}[i]::DOUBLE)) / greatest(sqrt(list_sum(list_transform({0}, lambda x: x::DOUBLE * x::DOUBLE))) * sqrt(list_sum(list_transform({1}, lambda x: x::DOUBLE * x::DOUBLE))), 1e-12::DOUBLE)"
+_Q = f"q AS (SELECT item_id AS qid, text, embedding AS vector FROM benchmark JOIN embeddings ON vec_id = item_id * 7 WHERE item_id < {_QUERY_ITEMS})"
+_CHUNKS = "ch AS (SELECT doc_id AS vector_id, source || '/doc_' || doc_id || '.txt' AS file_path, text AS content FROM documents)"
+_LINES = r"regexp_extract_all({0}, '([^\n]*\n|[^\n]+$)', 1)"
+
+
+# scalar functions
+
+
+@query(f"SELECT doc_id, {_TOKENS.format('text')} AS tokens FROM documents")
+def tokenize_docs(s: SparkSession, d: str) -> DataFrame:
+    return _docs(s, d).select("doc_id", T.tokenize(F.col("text")).alias("tokens"))
+
+
+@query(f"SELECT item_id, list_sort(list_distinct({_TOKENS.format('text')})) AS terms FROM benchmark")
+def query_terms(s: SparkSession, d: str) -> DataFrame:
+    return table(s, d, "benchmark").select("item_id", T.query_terms(F.col("text")).alias("terms"))
+
+
+@query(r"SELECT doc_id, coalesce(left(list_filter(list_transform(string_split(text, chr(10)), lambda x: regexp_replace(x, '^\s+|\s+$', '', 'g')), lambda x: x <> '')[1], 160), '') AS signature FROM documents")
+def doc_signatures(s: SparkSession, d: str) -> DataFrame:
+    return _docs(s, d).select("doc_id", T.signature(F.col("text")).alias("signature"))
+
+
+_EXTENSIONS = [*T.LANGUAGES, "txt", "RS", "Md"]
+
+
+@query(f"SELECT doc_id, path, CASE lower(ext) {' '.join(f"WHEN '{e}' THEN '{n}'" for e, n in T.LANGUAGES.items())} ELSE 'text' END AS language FROM (SELECT doc_id, ext, 'src/f' || doc_id || '.' || ext AS path FROM (SELECT doc_id, {_EXTENSIONS}[doc_id % {len(_EXTENSIONS)} + 1] AS ext FROM documents))")
+def lang_map(s: SparkSession, d: str) -> DataFrame:
+    ext = F.get(F.array(*(F.lit(e) for e in _EXTENSIONS)), (F.col("doc_id") % len(_EXTENSIONS)).cast("int"))
+    path = F.concat(F.lit("src/f"), F.col("doc_id").cast("string"), F.lit("."), ext)
+    return _docs(s, d).select("doc_id", path.alias("path")).withColumn("language", T.language(F.col("path")))
+
+
+_KINDS = [*(k for ks in T.NODE_KINDS.values() for k in ks), "const_item", "decorated_definition"]
+
+
+@query(f"SELECT doc_id, kind, CASE kind {' '.join(f"WHEN '{k}' THEN '{n}'" for n, ks in T.NODE_KINDS.items() for k in ks)} ELSE 'block' END AS node_type FROM (SELECT doc_id, {_KINDS}[doc_id % {len(_KINDS)} + 1] AS kind FROM documents)")
+def node_kinds(s: SparkSession, d: str) -> DataFrame:
+    kind = F.get(F.array(*(F.lit(k) for k in _KINDS)), (F.col("doc_id") % len(_KINDS)).cast("int"))
+    return _docs(s, d).select("doc_id", kind.alias("kind")).withColumn("node_type", T.node_kind(F.col("kind")))
+
+
+@query("SELECT doc_id, source || '/doc_' || doc_id || '.txt' AS path FROM documents WHERE starts_with(source || '/doc_' || doc_id || '.txt', 'src1/')")
+def scope_filter(s: SparkSession, d: str) -> DataFrame:
+    return _docs(s, d).select("doc_id", _path().alias("path")).where(T.in_scope(F.col("path"), T.norm_scope(F.lit(" .\\src1/ "))))
+
+
+@query("""WITH l AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS k FROM documents),
+    e AS (SELECT doc_id, k, sum(strlen(line) + 1) OVER (PARTITION BY doc_id ORDER BY k) AS stop FROM l), p AS (SELECT doc_id, text, strlen(text) // 2 AS b FROM documents)
+    SELECT p.doc_id, any_value(b)::BIGINT AS byte, (1 + count(*) FILTER (e.stop <= b))::BIGINT AS line FROM p JOIN e USING (doc_id) GROUP BY p.doc_id""")
+def line_numbers(s: SparkSession, d: str) -> DataFrame:
+    byte = F.floor(F.octet_length("text") / 2)
+    return _docs(s, d).select("doc_id", byte.alias("byte"), T.line_at(F.col("text"), byte).alias("line"))
+
+
+@query(r"""WITH c AS (SELECT doc_id, source || '/doc_' || doc_id || '.txt' AS path, CASE WHEN doc_id % 3 = 0 THEN 'sym' || doc_id END AS symbol, text,
+      coalesce(left(list_filter(list_transform(string_split(text, chr(10)), lambda x: regexp_replace(x, '^\s+|\s+$', '', 'g')), lambda x: x <> '')[1], 160), '') AS sig FROM documents),
+    h AS (SELECT *, path || coalesce('::' || symbol, '') || ' (lines) — ' || sig || chr(10) AS header FROM c)
+    SELECT doc_id, header, sha256(header || text) AS content_hash, sha256(text) AS body_hash FROM h""")
+def embed_headers(s: SparkSession, d: str) -> DataFrame:
+    symbol = F.when(F.col("doc_id") % 3 == 0, F.concat(F.lit("sym"), F.col("doc_id").cast("string")))
+    rows = _docs(s, d).select("doc_id", _path().alias("path"), symbol.alias("symbol"), F.lit("lines").alias("node_type"), F.col("text").alias("content"))
+    header = T.embed_header(F.col("path"), F.col("symbol"), F.col("node_type"), F.col("content"))
+    return sync.hashed_chunks(rows).select("doc_id", header.alias("header"), "content_hash", "body_hash")
+
+
+@query("SELECT doc_id, list_transform(range(0, 16), lambda i: xor(('0x' || substr(h, ((i % 32) * 2 + 1)::INT, 2))::INT, ((i * 31) % 256)::INT) / 127.5::DOUBLE - 1) AS vector FROM (SELECT doc_id, sha256(text) AS h FROM documents)")
+def stub_vectors(s: SparkSession, d: str) -> DataFrame:
+    return _docs(s, d).select("doc_id", V.stub_vector(F.col("text"), 16).alias("vector"))
+
+
+@query("SELECT vec_id, round(list_sum(list_transform(u, lambda x: x * x)), 6) AS length, round(u[1], 6) AS first FROM (SELECT vec_id, list_transform(embedding, lambda x: x::DOUBLE / sqrt(list_sum(list_transform(embedding, lambda y: y::DOUBLE * y::DOUBLE)))) AS u FROM embeddings)")
+def l2_normalize(s: SparkSession, d: str) -> DataFrame:
+    unit = table(s, d, "embeddings").select("vec_id", V.l2_normalized(F.col("embedding")).alias("u"))
+    return unit.select("vec_id", F.round(V.dot(F.col("u"), F.col("u")), 6).alias("length"), F.round(F.get("u", F.lit(0)), 6).alias("first"))
+
+
+@query("SELECT event_id, n < 10 AS fresh, n >= 10 AS resync_due FROM (SELECT event_id, date_diff('second', ts, TIMESTAMP '2024-01-15 00:00:00') // 60 AS n, ts FROM events WHERE ts <= TIMESTAMP '2024-01-15 00:00:00')")
+def freshness_due(s: SparkSession, d: str) -> DataFrame:
+    now = F.lit("2024-01-15 00:00:00").cast("timestamp")
+    rows = table(s, d, "events").where(F.col("ts") <= now)
+    late = T.due(F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss.SSSSSSXXX"), now, F.lit(10))
+    return rows.select("event_id", (~late).alias("fresh"), late.alias("resync_due"))
+
+
+# chunkers
+
+
+@query(f"""WITH l AS (SELECT doc_id, {_LINES.format('text')} AS ls FROM documents), x AS (SELECT doc_id, unnest(ls) AS line, generate_subscripts(ls, 1) AS k, len(ls) AS n FROM l),
+    b AS (SELECT doc_id, k, n, sum(strlen(line)) OVER (PARTITION BY doc_id ORDER BY k) AS stop, sum(strlen(line)) OVER (PARTITION BY doc_id ORDER BY k) - strlen(line) AS start FROM x)
+    SELECT a.doc_id, ((a.k - 1) // 80)::INT AS chunk_index, a.start::BIGINT AS start_byte, z.stop::BIGINT AS end_byte FROM b a JOIN b z ON z.doc_id = a.doc_id AND z.k = least(a.k + 99, a.n)
+    WHERE (a.k - 1) % 80 = 0 AND (a.k = 1 OR a.k - 1 - 80 + 100 < a.n)""")
+def line_windows(s: SparkSession, d: str) -> DataFrame:
+    rows = _docs(s, d).select("doc_id", F.posexplode(chunk.line_windows(F.col("text"))).alias("chunk_index", "c"))
+    return rows.select("doc_id", "chunk_index", "c.start_byte", "c.end_byte")
+
+
+def _sections_sql(text: str, cut: str) -> str:
+    return f"""WITH t AS (SELECT doc_id, {text} AS text FROM documents), l AS (SELECT doc_id, {_LINES.format('text')} AS ls FROM t), x AS (SELECT doc_id, unnest(ls) AS line, generate_subscripts(ls, 1) AS k FROM l),
+    b AS (SELECT doc_id, k, strlen(line) AS n, sum(CASE WHEN k = 1 OR {cut} THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id ORDER BY k) AS sec, sum(strlen(line)) OVER (PARTITION BY doc_id ORDER BY k) AS stop FROM x)
+    SELECT doc_id, (sec - 1)::INT AS chunk_index, min(stop - n)::BIGINT AS start_byte, max(stop)::BIGINT AS end_byte FROM b GROUP BY doc_id, sec"""
+
+
+@query(_sections_sql(r"regexp_replace(text, '\n(T|L|D|A)', chr(10) || ' ## \1', 'g')", r"regexp_matches(line, '^\s*#{1,3} ')"))
+def md_sections(s: SparkSession, d: str) -> DataFrame:
+    text = F.regexp_replace("text", "\n(T|L|D|A)", "\n ## $1")
+    rows = _docs(s, d).select("doc_id", F.posexplode(chunk.markdown_sections(text)).alias("chunk_index", "c"))
+    return rows.select("doc_id", "chunk_index", "c.start_byte", "c.end_byte")
+
+
+@query(f"""WITH long AS ({_sections_sql(r"regexp_replace(text, '\n(T|L|D|A)', chr(10) || 'key: \1', 'g')", r"contains(line, ':') AND NOT regexp_matches(line, '^(\s|#)')")}),
+    t AS (SELECT doc_id, strlen(regexp_replace(text, '\n(T|L|D|A)', chr(10) || 'key: \\1', 'g')) AS n FROM documents)
+    SELECT long.* FROM long JOIN t USING (doc_id) WHERE n >= 2048 UNION ALL SELECT doc_id, 0, 0, n FROM t WHERE n < 2048""")
+def yaml_keys(s: SparkSession, d: str) -> DataFrame:
+    text = F.regexp_replace("text", "\n(T|L|D|A)", "\nkey: $1")
+    rows = _docs(s, d).select("doc_id", F.posexplode(chunk.structured(text, "yaml")).alias("chunk_index", "c"))
+    return rows.select("doc_id", "chunk_index", "c.start_byte", "c.end_byte")
+
+
+@query("""WITH RECURSIVE t AS (SELECT doc_id, encode(text) AS b, strlen(text) AS n FROM documents),
+    r AS (SELECT doc_id, 0::BIGINT AS a, 0::BIGINT AS z, 0 AS k FROM t UNION ALL
+      SELECT r.doc_id, r.z, CASE WHEN r.z + 2048 >= n THEN n WHEN (hex(b[r.z + 2049:r.z + 2049]) NOT BETWEEN '80' AND 'BF') THEN r.z + 2048 WHEN (hex(b[r.z + 2048:r.z + 2048]) NOT BETWEEN '80' AND 'BF') THEN r.z + 2047
+        WHEN (hex(b[r.z + 2047:r.z + 2047]) NOT BETWEEN '80' AND 'BF') THEN r.z + 2046 ELSE r.z + 2045 END, k + 1 FROM r JOIN t USING (doc_id) WHERE r.z < n)
+    SELECT doc_id, (k - 1)::INT AS chunk_index, a AS start_byte, z AS end_byte FROM r WHERE k > 0""")
+def cap_chunks(s: SparkSession, d: str) -> DataFrame:
+    whole = F.array(F.struct(F.lit(0).cast("bigint").alias("start_byte"), F.octet_length("text").cast("bigint").alias("end_byte"), F.lit("lines").alias("node_type"), F.lit(None).cast("string").alias("symbol")))
+    rows = _docs(s, d).select("doc_id", F.posexplode(chunk.capped(F.col("text"), whole)).alias("chunk_index", "c"))
+    return rows.select("doc_id", "chunk_index", "c.start_byte", "c.end_byte")
+
+
+@query()
+def chunk_files(s: SparkSession, d: str) -> DataFrame:
+    ext = F.get(F.array(*(F.lit(e) for e in ("txt", "md", "yaml", "toml", "json", "py"))), (F.col("doc_id") % 6).cast("int"))
+    return chunk.chunk_files(_docs(s, d).select(F.concat("source", F.lit("/doc_"), F.col("doc_id").cast("string"), F.lit("."), ext).alias("path"), "text"))
+
+
+# search
+
+
+@query(f"SELECT e.vec_id AS vector_id, round({_COS.format('e.embedding', 'q.embedding')}, 6) AS cos FROM embeddings e, (SELECT embedding FROM embeddings WHERE vec_id = 7) q ORDER BY round({_COS.format('e.embedding', 'q.embedding')}, 9) DESC, e.vec_id LIMIT 10")
+def knn_exact(s: SparkSession, d: str) -> DataFrame:
+    vectors = _vectors(s, d)
+    wanted = vectors.where("vector_id = 7").first().embedding
+    return search.knn(vectors, wanted, 10).select("vector_id", F.round("cos", 6).alias("cos"))
+
+
+_KNN = f"""nn AS (SELECT * FROM (SELECT qid, vec_id AS vector_id, round({_COS.format('embedding', 'vector')}, 9) AS cos, row_number() OVER (PARTITION BY qid ORDER BY round({_COS.format('embedding', 'vector')}, 9) DESC, vec_id) - 1 AS sem FROM embeddings, q) WHERE sem < {{0}})"""
+
+
+@query(f"WITH {_Q}, {_KNN.format(10)} SELECT qid, vector_id, round(cos, 6) AS cos FROM nn")
+def knn_batch(s: SparkSession, d: str) -> DataFrame:
+    return search.knn_batch(_vectors(s, d), _asked(s, d), 10).select("qid", "vector_id", F.round("cos", 6).alias("cos"))
+
+
+_HYBRID = f"""{_Q}, {_KNN.format(400)}, {_CHUNKS}, terms AS (SELECT qid, list_sort(list_distinct({_TOKENS.format('text')})) AS ts FROM q),
+    cand AS (SELECT nn.qid, vector_id, file_path, content, cos FROM nn JOIN ch USING (vector_id) WHERE {{scope}}),
+    tok AS (SELECT c.*, {_TOKENS.format('content')} AS toks, ts FROM cand c JOIN terms USING (qid)),
+    docs AS (SELECT *, len(toks) AS dl, count(*) OVER (PARTITION BY qid) AS n, greatest(avg(len(toks)) OVER (PARTITION BY qid), 1.0::DOUBLE) AS avgdl FROM tok),
+    tf AS (SELECT qid, vector_id, dl, n, avgdl, t AS term, len(list_filter(toks, lambda x: x = t)) AS tf FROM (SELECT *, unnest(ts) AS t FROM docs)),
+    dfs AS (SELECT *, count(*) OVER (PARTITION BY qid, term) AS df FROM tf WHERE tf > 0),
+    sc AS (SELECT qid, vector_id, round(sum(ln(1 + (n - df + 0.5::DOUBLE) / (df + 0.5::DOUBLE)) * tf * 2.2::DOUBLE / (tf + 1.2::DOUBLE * (0.25::DOUBLE + 0.75::DOUBLE * dl / avgdl))), 9) AS bm25 FROM dfs GROUP BY qid, vector_id),
+    r1 AS (SELECT cand.*, coalesce(bm25, 0::DOUBLE) AS bm25, row_number() OVER (PARTITION BY qid ORDER BY cos DESC, vector_id) - 1 AS sem FROM cand LEFT JOIN sc USING (qid, vector_id)),
+    r2 AS (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY bm25 DESC, sem) - 1 AS lex FROM r1),
+    r3 AS (SELECT *, round(1::DOUBLE / (60 + sem) + 1::DOUBLE / (60 + lex), 12) AS score FROM r2),
+    fused AS (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY score DESC, sem) - 1 AS ord FROM r3)"""
+_ALL = _HYBRID.replace("{scope}", "true")
+
+
+@query(f"WITH {_ALL} SELECT qid, vector_id, round(bm25, 6) AS bm25 FROM r1")
+def bm25_topk(s: SparkSession, d: str) -> DataFrame:
+    asked = _asked(s, d)
+    found = search.materialized(search.knn_batch(_vectors(s, d), asked, 400), _chunks(s, d))
+    return search.bm25(found, asked).select("qid", "vector_id", F.round("bm25", 6).alias("bm25"))
+
+
+@query(f"WITH {_ALL} SELECT qid, vector_id, file_path, sem::INT AS sem, lex::INT AS lex, ord::INT AS ord, round(score, 9) AS score FROM fused WHERE ord < 10")
+def rrf_hybrid(s: SparkSession, d: str) -> DataFrame:
+    found = search.hybrid_search(_chunks(s, d), _vectors(s, d), _asked(s, d), 10)
+    return found.select("qid", "vector_id", "file_path", "sem", "lex", "ord", F.round("score", 9).alias("score"))
+
+
+@query(f"WITH {_HYBRID.replace('{scope}', "starts_with(file_path, 'src1/')")} SELECT qid, vector_id, file_path, ord::INT AS ord, round(score, 9) AS score FROM fused WHERE ord < 10")
+def hybrid_scoped(s: SparkSession, d: str) -> DataFrame:
+    found = search.hybrid_search(_chunks(s, d), _vectors(s, d), _asked(s, d), 10, scope="src1")
+    return found.select("qid", "vector_id", "file_path", "ord", F.round("score", 9).alias("score"))
+
+
+@query(f"WITH {_Q}, {_KNN.format(400)}, {_CHUNKS} SELECT qid, vector_id, round(cos, 6) AS score, (row_number() OVER (PARTITION BY qid ORDER BY cos DESC, vector_id) - 1)::INT AS ord FROM nn JOIN ch USING (vector_id) QUALIFY ord < 10")
+def vector_fallback(s: SparkSession, d: str) -> DataFrame:
+    symbols = _asked(s, d).withColumn("text", F.lit("::"))
+    found = search.hybrid_search(_chunks(s, d), _vectors(s, d), symbols, 10)
+    return found.select("qid", "vector_id", F.round("score", 6).alias("score"), "ord")
+
+
+@query(f"""WITH {_ALL.replace("sem < 400", "sem < 2400")}, rr AS (SELECT f.*, CASE WHEN ord < 50 THEN round(len(list_filter(ts, lambda y: list_contains({_TOKENS.format('content')}, y)))::DOUBLE / greatest(len(ts), 1), 9) ELSE score END AS new FROM fused f JOIN terms USING (qid)),
+    o AS (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY CASE WHEN ord < 50 THEN 0 ELSE 1 END, CASE WHEN ord < 50 THEN -new ELSE ord END, ord) - 1 AS again FROM rr)
+    SELECT qid, vector_id, again::INT AS ord, round(new, 9) AS score FROM o WHERE again < 60""")
+def rerank_topn(s: SparkSession, d: str) -> DataFrame:
+    found = search.hybrid_search(_chunks(s, d), _vectors(s, d), _asked(s, d), 60, rerank=search.term_overlap)
+    return found.select("qid", "vector_id", "ord", F.round("score", 9).alias("score"))
+
+
+def _turns(s: SparkSession, d: str) -> DataFrame:
+    """Conversations as files whose turns are chunks."""
+    return table(s, d, "conversations").select(F.concat(F.lit("c"), F.col("conv_id").cast("string")).alias("file_path"), F.col("turn").alias("chunk_index"), (F.col("conv_id") * 1000 + F.col("turn")).alias("vector_id"), (F.col("turn") * 10).alias("start_byte"), F.when(F.col("turn") % 3 == 0, F.col("turn") * 10 + 40).otherwise(F.col("turn") * 10 + 8).alias("end_byte"))
+
+
+_TURNS = "t AS (SELECT 'c' || conv_id AS file_path, turn AS chunk_index, conv_id * 1000 + turn AS vector_id, turn * 10 AS start_byte, CASE WHEN turn % 3 = 0 THEN turn * 10 + 40 ELSE turn * 10 + 8 END AS end_byte FROM conversations)"
+
+
+@query(f"WITH {_TURNS} SELECT vector_id, lag(vector_id) OVER w AS prev_id, lead(vector_id) OVER w AS next_id FROM t WINDOW w AS (PARTITION BY file_path ORDER BY chunk_index)")
+def prev_next(s: SparkSession, d: str) -> DataFrame:
+    return search.neighbours(_turns(s, d)).select("vector_id", "prev_id", "next_id")
+
+
+@query(f"""WITH {_TURNS} SELECT a.vector_id, b.vector_id AS parent_id FROM t a JOIN t b ON a.file_path = b.file_path AND b.vector_id <> a.vector_id AND b.start_byte <= a.start_byte AND b.end_byte >= a.end_byte
+    QUALIFY row_number() OVER (PARTITION BY a.vector_id ORDER BY b.end_byte - b.start_byte, b.chunk_index) = 1""")
+def parent_span(s: SparkSession, d: str) -> DataFrame:
+    return search.parents(_turns(s, d))
+
+
+@query()
+def search_results(s: SparkSession, d: str) -> DataFrame:
+    files = _docs(s, d).select(_path().alias("path"), "text")
+    chunks = _chunks(s, d).withColumns({"language": F.lit("text"), "node_type": F.lit("lines"), "chunk_index": F.lit(0), "start_byte": F.lit(0).cast("bigint"), "end_byte": F.octet_length("content").cast("bigint")})
+    found = search.hybrid_search(_chunks(s, d), _vectors(s, d), _asked(s, d), 10)
+    return search.results(found, chunks, files, 10)
+
+
+@query()
+def ann_cells(s: SparkSession, d: str) -> DataFrame:
+    vectors = _vectors(s, d)
+    centres = ann.fit_centres(vectors, 16)
+    asked = _asked(s, d).select("qid", "vector")
+    return ann.ann_search(durable(ann.assigned(vectors, centres)), centres, asked, 10, 6)
+
+
+# sync: the documents as a first snapshot, and a second scan in which some are gone, edited, touched or moved
+
+_GONE, _EDITED, _MOVED, _TOUCHED = 17, 13, 11, 7
+
+
+def _files(s: SparkSession, d: str) -> DataFrame:
+    return _docs(s, d).select(F.col("doc_id").alias("file_id"), _path().alias("path"), F.lit(100).cast("bigint").alias("last_modified"), F.octet_length("text").cast("bigint").alias("size"), T.digest(F.col("text")).alias("content_hash"))
+
+
+def _scan(s: SparkSession, d: str) -> DataFrame:
+    k = F.col("doc_id")
+    text = F.when(k % _EDITED == 0, F.concat("text", F.lit(" edited"))).otherwise(F.col("text"))
+    path = F.when(k % _MOVED == 0, F.concat(F.lit("moved/"), _path())).otherwise(_path())
+    mtime = F.when((k % _EDITED == 0) | (k % _TOUCHED == 0), 200).otherwise(100).cast("bigint")
+    return _docs(s, d).where(k % _GONE != 0).select(path.alias("path"), mtime.alias("last_modified"), F.octet_length(text).cast("bigint").alias("size"), text.alias("text"))
+
+
+_FILES_SQL = "f AS (SELECT doc_id AS file_id, source || '/doc_' || doc_id || '.txt' AS path, 100::BIGINT AS last_modified, strlen(text) AS size, sha256(text) AS content_hash FROM documents)"
+_SCAN_SQL = f"""sc AS (SELECT CASE WHEN doc_id % {_MOVED} = 0 THEN 'moved/' ELSE '' END || source || '/doc_' || doc_id || '.txt' AS path, CASE WHEN doc_id % {_EDITED} = 0 OR doc_id % {_TOUCHED} = 0 THEN 200 ELSE 100 END AS last_modified,
+    text || CASE WHEN doc_id % {_EDITED} = 0 THEN ' edited' ELSE '' END AS text FROM documents WHERE doc_id % {_GONE} <> 0)"""
+_CLASS_SQL = f"""{_FILES_SQL}, {_SCAN_SQL}, cl AS (SELECT sc.path, sc.text, sha256(sc.text) AS h, CASE WHEN sc.last_modified = f.last_modified AND strlen(sc.text) = f.size THEN 'unchanged' WHEN sha256(sc.text) = f.content_hash THEN 'touched' ELSE 'changed' END AS class FROM sc LEFT JOIN f USING (path))"""
+
+
+@query(f"WITH {_CLASS_SQL} SELECT path, class FROM cl")
+def file_diff(s: SparkSession, d: str) -> DataFrame:
+    return sync.classified(_scan(s, d), _files(s, d)).select("path", "class")
+
+
+@query(f"WITH {_FILES_SQL}, {_SCAN_SQL} SELECT path FROM f WHERE path NOT IN (SELECT path FROM sc)")
+def deleted_files(s: SparkSession, d: str) -> DataFrame:
+    return sync.deleted(_scan(s, d), _files(s, d)).select("path")
+
+
+def _old_chunks(s: SparkSession, d: str) -> DataFrame:
+    rows = _docs(s, d).select("doc_id", _path().alias("path"), F.lit(None).cast("string").alias("symbol"), F.lit("lines").alias("node_type"), F.col("text").alias("content"), F.lit(0).alias("chunk_index"))
+    return sync.hashed_chunks(rows).select(F.col("doc_id").alias("file_id"), "chunk_index", "content_hash", "body_hash", (F.col("doc_id") + 1).alias("vector_id"))
+
+
+def _plan(s: SparkSession, d: str) -> DataFrame:
+    changed = sync.classified(_scan(s, d), _files(s, d)).where("class = 'changed'")
+    new = sync.hashed_chunks(changed.select("path", F.lit(0).alias("chunk_index"), F.lit(None).cast("string").alias("symbol"), F.lit("lines").alias("node_type"), F.col("text").alias("content")))
+    old = _old_chunks(s, d)
+    return sync.reuse_plan(new, _files(s, d), old, old.select("vector_id"))
+
+
+_PLAN_SQL = rf"""{_CLASS_SQL}, sig AS (SELECT *, coalesce(left(list_filter(list_transform(string_split(text, chr(10)), lambda x: regexp_replace(x, '^\s+|\s+$', '', 'g')), lambda x: x <> '')[1], 160), '') AS sig FROM cl WHERE class = 'changed'),
+    nw AS (SELECT path, sha256(path || ' (lines) — ' || sig || chr(10) || text) AS ch, h AS bh FROM sig),
+    old AS (SELECT source || '/doc_' || doc_id || '.txt' AS path, doc_id + 1 AS vector_id, sha256(text) AS bh, sha256(source || '/doc_' || doc_id || '.txt (lines) — ' || coalesce(left(list_filter(list_transform(string_split(text, chr(10)), lambda x: regexp_replace(x, '^\s+|\s+$', '', 'g')), lambda x: x <> '')[1], 160), '') || chr(10) || text) AS ch FROM documents),
+    cp AS (SELECT bh, min(vector_id) AS copy_id FROM old GROUP BY bh),
+    pl AS (SELECT nw.path, CASE WHEN old.vector_id IS NOT NULL THEN 'same' WHEN copy_id IS NOT NULL THEN 'copy' ELSE 'fresh' END AS reuse, coalesce(old.vector_id, copy_id) AS source_id FROM nw LEFT JOIN old ON old.path = nw.path AND old.ch = nw.ch LEFT JOIN cp ON cp.bh = nw.bh)"""
+
+
+@query(f"WITH {_PLAN_SQL} SELECT path, reuse, source_id FROM pl")
+def reuse_plan(s: SparkSession, d: str) -> DataFrame:
+    return _plan(s, d).select("path", "reuse", "source_id")
+
+
+@query(f"WITH {_PLAN_SQL} SELECT vector_id FROM old WHERE path IN (SELECT path FROM pl) AND vector_id NOT IN (SELECT source_id FROM pl WHERE reuse = 'same')")
+def orphans(s: SparkSession, d: str) -> DataFrame:
+    return sync.orphans(_plan(s, d), _files(s, d), _old_chunks(s, d))
+
+
+@query(f"WITH {_PLAN_SQL} SELECT path, CASE WHEN reuse = 'same' THEN source_id ELSE 1000000 - 1 + row_number() OVER (PARTITION BY reuse = 'same' ORDER BY path) END AS vector_id FROM pl")
+def id_alloc(s: SparkSession, d: str) -> DataFrame:
+    return sync.allocated(_plan(s, d), 1_000_000).select("path", "vector_id")
+
+
+@query(f"WITH {_PLAN_SQL} SELECT (SELECT count(*) FROM cl WHERE class = 'changed') AS files_indexed, (SELECT count(*) FROM cl WHERE class <> 'changed') AS files_skipped, (SELECT count(*) FROM f WHERE path NOT IN (SELECT path FROM sc)) AS files_deleted, (SELECT count(*) FROM pl) AS chunks_total")
+def sync_stats(s: SparkSession, d: str) -> DataFrame:
+    scan, files = _scan(s, d), _files(s, d)
+    return sync.stats(sync.classified(scan, files), sync.deleted(scan, files), _plan(s, d))
+
+
+@query(f"WITH {_FILES_SQL} SELECT sha256(string_agg(path || chr(0) || content_hash || chr(10), '' ORDER BY path)) AS root FROM f")
+def merkle_root(s: SparkSession, d: str) -> DataFrame:
+    return sync.merkle_root(_files(s, d))
+
+
+# inspection
+
+_IX = f"{_FILES_SQL}, c AS (SELECT doc_id AS file_id, doc_id + 1 AS vector_id FROM documents WHERE doc_id % 5 <> 0)"
+
+
+def _some_chunks(s: SparkSession, d: str) -> DataFrame:
+    return _old_chunks(s, d).where("file_id % 5 <> 0")
+
+
+@query(f"WITH {_IX} SELECT path, count(vector_id) AS chunks FROM f LEFT JOIN c USING (file_id) GROUP BY path")
+def list_files(s: SparkSession, d: str) -> DataFrame:
+    return inspect.list_files(_files(s, d), _some_chunks(s, d))
+
+
+@query(f"WITH {_IX} SELECT (SELECT count(*) FROM f) AS files, (SELECT count(*) FROM c) AS chunks")
+def counts(s: SparkSession, d: str) -> DataFrame:
+    return inspect.counts(_files(s, d), _some_chunks(s, d))
+
+
+@query("SELECT 'conv_' || conv_id AS path, turn AS chunk_index, conv_id * 1000 + turn AS vector_id FROM conversations WHERE conv_id = 3")
+def chunks_of_file(s: SparkSession, d: str) -> DataFrame:
+    rows = table(s, d, "conversations")
+    files = rows.select(F.col("conv_id").alias("file_id"), F.concat(F.lit("conv_"), F.col("conv_id").cast("string")).alias("path")).distinct()
+    chunks = rows.select(F.col("conv_id").alias("file_id"), F.col("turn").alias("chunk_index"), (F.col("conv_id") * 1000 + F.col("turn")).alias("vector_id"))
+    return inspect.chunks_for_file(files, chunks, "conv_3").select(F.lit("conv_3").alias("path"), "chunk_index", "vector_id")
+
+
+@query(f"WITH {_IX} SELECT (SELECT count(*) FROM f) AS files, (SELECT count(*) FROM c) AS chunks, (SELECT count(*) FROM embeddings) AS vector_count, 'stub' AS model, '2024-01-15T00:00:00Z' AS last_sync_at, false AS is_stale, true AS resync_due, 'exact' AS search_backend, (SELECT left(sha256(string_agg(path || chr(0) || content_hash || chr(10), '' ORDER BY path)), 16) FROM f) AS merkle_root")
+def status(s: SparkSession, d: str) -> DataFrame:
+    meta = s.createDataFrame([("model_name", "stub"), ("last_sync_at", "2024-01-15T00:00:00Z")], "key string, value string")
+    return inspect.status(_files(s, d), _some_chunks(s, d), _vectors(s, d), meta, F.lit("2024-01-15 01:00:00").cast("timestamp"))
+
+
+@query(f"""WITH {_IX} SELECT 'file path repeats' AS rule, 0::BIGINT AS rows UNION ALL SELECT 'vector id repeats', 0 UNION ALL SELECT 'chunk without file', 0
+    UNION ALL SELECT 'chunk without vector', (SELECT count(*) FROM c WHERE vector_id NOT IN (SELECT vec_id FROM embeddings)) UNION ALL SELECT 'vector without chunk', (SELECT count(*) FROM embeddings WHERE vec_id NOT IN (SELECT vector_id FROM c))""")
+def violations(s: SparkSession, d: str) -> DataFrame:
+    return inspect.violations(_files(s, d), _some_chunks(s, d), _vectors(s, d))
+
+
+# evaluation
+
+_GOLD = "g AS (SELECT qid, (qid * 7 + 1) AS vector_id FROM q)"
+_RANKS = f"""{_Q}, {_GOLD}, al AS (SELECT qid, vec_id AS vector_id, row_number() OVER (PARTITION BY qid ORDER BY round({_COS.format('embedding', 'vector')}, 9) DESC, vec_id) AS rank FROM embeddings, q), rk AS (SELECT qid, rank FROM al JOIN g USING (qid, vector_id))"""
+_METRICS = "count(*) AS n, round(coalesce(sum(1.0::DOUBLE / rank) FILTER (rank <= 10), 0) / greatest(count(*), 1), 4) AS mrr_10, round(count(*) FILTER (rank <= 1) / greatest(count(*), 1), 4) AS recall_1, round(count(*) FILTER (rank <= 5) / greatest(count(*), 1), 4) AS recall_5, round(coalesce(sum(1.0::DOUBLE / log2(rank + 1)) FILTER (rank <= 10), 0) / greatest(count(*), 1), 4) AS ndcg_10"
+
+
+@query(f"WITH {_RANKS} SELECT qid, rank FROM rk")
+def gold_ranks(s: SparkSession, d: str) -> DataFrame:
+    asked = _asked(s, d)
+    return evaluate.gold_ranks(_vectors(s, d), asked, asked.select("qid", (F.col("qid") * 7 + 1).alias("vector_id")))
+
+
+@query(f"WITH {_RANKS} SELECT {_METRICS} FROM rk")
+def retrieval_metrics(s: SparkSession, d: str) -> DataFrame:
+    return evaluate.metrics(gold_ranks(s, d))
+
+
+@query(f"WITH {_ALL}, ex AS (SELECT qid, source || '/doc_' || doc_id || '.txt' AS expected FROM q JOIN documents ON doc_id = qid * 7), h AS (SELECT ex.qid, min(ord) + 1 AS rank FROM ex LEFT JOIN fused ON fused.qid = ex.qid AND file_path = expected AND ord < 10 GROUP BY ex.qid) SELECT {_METRICS} FROM h")
+def golden_metrics(s: SparkSession, d: str) -> DataFrame:
+    asked = _asked(s, d)
+    hits = search.hybrid_search(_chunks(s, d), _vectors(s, d), asked, 10)
+    expected = asked.select("qid").join(_docs(s, d).withColumn("expected", _path()), F.col("doc_id") == F.col("qid") * 7).select("qid", "expected")
+    return evaluate.metrics(evaluate.golden_ranks(hits, expected))
+
+
+@query(f"""WITH {_Q}, b AS (SELECT vec_id, list_transform(embedding, lambda x: round(x::DOUBLE, 2)) AS y, embedding AS x FROM embeddings), m AS (SELECT round(avg({_COS.format('x', 'y')}), 6) AS mean_cosine, round(min({_COS.format('x', 'y')}), 6) AS min_cosine FROM b),
+    t AS (SELECT qid, arg_min(vec_id, (-round({_COS.format('x', 'vector')}, 9), vec_id)) AS a, arg_min(vec_id, (-round({_COS.format('y', 'vector')}, 9), vec_id)) AS b FROM b, q GROUP BY qid)
+    SELECT mean_cosine, min_cosine, (SELECT round(avg(CASE WHEN a = b THEN 1.0::DOUBLE ELSE 0.0 END), 6) FROM t) AS top1_agreement FROM m""")
+def precision_equivalence(s: SparkSession, d: str) -> DataFrame:
+    vectors = _vectors(s, d)
+    rough = vectors.withColumn("embedding", F.transform("embedding", lambda x: F.round(x.cast("double"), 2)))
+    return evaluate.precision_equivalence(vectors, rough, _asked(s, d))
