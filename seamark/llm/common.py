@@ -2,51 +2,14 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from ..tables import BROADCAST_ROWS, durable, if_small, shared_folder, table
 
-def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
-
-
-def shared_folder(spark: SparkSession) -> str:
-    """The folder that driver and executors share: ``spark.checkpoint.dir`` of the session.
-
-    A folder of our own serves only a single-machine session that names none.
-    """
-    named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    if named:
-        return named.rstrip("/")
-    if not spark.sparkContext.master.startswith("local["):
-        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-    own = tempfile.mkdtemp(prefix="seamark-")
-    spark.conf.set("spark.checkpoint.dir", own)
-    return own
-
-
-def durable(df: DataFrame) -> DataFrame:
-    """Write ``df`` as Parquet to the shared folder and read it back.
-
-    It runs the plan once, cuts the lineage, and what was written survives lost executors.
-    """
-    path = f"{shared_folder(df.sparkSession)}/{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+__all__ = ["BROADCAST_ROWS", "durable", "held_out", "if_small", "shared_folder", "table"]
 
 
 def held_out(column: str, modulus: int, remainder: int) -> Column:
     """Whether crc32 of the id as text leaves ``remainder``; a null id never is held out."""
     return F.coalesce(F.crc32(F.col(column).cast("string").cast("binary")) % modulus == remainder, F.lit(False))
-
-
-#: Rows up to which a written table of a few numbers a row is broadcast; beyond that Spark joins by shuffle.
-BROADCAST_ROWS = 400_000
-
-
-def if_small(written: DataFrame, most: int = BROADCAST_ROWS) -> DataFrame:
-    """``written`` (a table that ``durable`` made), marked for broadcast if it has at most ``most`` rows."""
-    return F.broadcast(written) if written.limit(most + 1).count() <= most else written
