@@ -23,11 +23,24 @@ def backend(vectors: int, exact_below: int = EXACT_BELOW) -> str:
     return "exact" if vectors < exact_below else "cells"
 
 
-def fit_centres(vectors: DataFrame, cells: int, sample: int = SAMPLE) -> np.ndarray:
-    """Spherical k-means centres of at most ``sample`` vectors, those with the smallest hashes of their ids."""
+def sampled(vectors: DataFrame, sample: int = SAMPLE) -> np.ndarray:
+    """At most ``sample`` unit vectors: those with the smallest hashes of their ids."""
     rows = vectors.where("embedding is not null").orderBy(F.xxhash64("vector_id"), "vector_id").limit(sample).select("embedding").collect()
     x = np.array([r.embedding for r in rows], np.float64)
-    x /= np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-12)
+    return x / np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-12)
+
+
+def probes_for(x: np.ndarray, centres: np.ndarray, target: float, k: int = 10, queries: int = 200) -> int:
+    """The fewest cells to probe for a mean recall of ``target`` at ``k``, as measured within a sample of unit vectors."""
+    own, asked = (x @ centres.T).argmax(axis=1), x[:queries]
+    best = np.argsort(-(asked @ x.T), axis=1, kind="stable")[:, :k]
+    place = np.argsort(np.argsort(-(asked @ centres.T), axis=1, kind="stable"), axis=1)  # of each cell in a query's order
+    need = np.take_along_axis(place, own[best], 1)
+    return next((p for p in range(1, len(centres)) if (need < p).mean() >= target), len(centres))
+
+
+def fit_centres(x: np.ndarray, cells: int) -> np.ndarray:
+    """Spherical k-means centres of a sample of unit vectors."""
     rng = np.random.Generator(np.random.PCG64(SEED))
     centres = x[rng.choice(len(x), min(cells, len(x)), replace=False)]
     for _ in range(ITERATIONS):

@@ -297,9 +297,10 @@ def search_results(s: SparkSession, d: str) -> DataFrame:
 @query()
 def ann_cells(s: SparkSession, d: str) -> DataFrame:
     vectors = _vectors(s, d)
-    centres = ann.fit_centres(vectors, 16)
+    sample = ann.sampled(vectors)
+    centres = ann.fit_centres(sample, 16)
     asked = _asked(s, d).select("qid", "vector")
-    return ann.ann_search(durable(ann.assigned(vectors, centres)), centres, asked, 10, 6)
+    return ann.ann_search(durable(ann.assigned(vectors, centres)), centres, asked, 10, ann.probes_for(sample, centres, 0.95))
 
 
 # sync: the documents as a first snapshot, and a second scan in which some are gone, edited, touched or moved

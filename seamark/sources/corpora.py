@@ -40,8 +40,12 @@ def generated(spark: SparkSession, files: int, seed: int = 42) -> DataFrame:
         "json": lambda i: F.concat(F.lit('{"name": "item_'), n, i, F.lit('", "value": '), i, F.lit("}\n")),
     }
     body = F.lit("")
+
+    def repeated(make):
+        return F.array_join(F.transform(F.sequence(F.lit(1), draw(3, 8) + 1), lambda i: make(i.cast("string"))), "")
+
     for x, make in bodies.items():
-        body = F.when(lang == x, F.array_join(F.transform(F.sequence(F.lit(1), draw(3, 8) + 1), lambda i, make=make: make(i.cast("string"))), "")).otherwise(body)
+        body = F.when(lang == x, repeated(make)).otherwise(body)
     return spark.range(files).select(name.alias("path"), body.alias("text"))
 
 
