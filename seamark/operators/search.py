@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 
 from ..functions.text import in_scope, line_at, query_terms, signature, tokenize
 from ..functions.vector import cosine
+from ..tables import durable
 
 K1, B, RRF_K = 1.2, 0.75, 60
 OVERFETCH, LEAST_FETCH = 40, 400
@@ -83,22 +84,35 @@ def materialized(hits: DataFrame, chunks: DataFrame) -> DataFrame:
     return hits.join(chunks, "vector_id")
 
 
+def prepared(candidates: DataFrame, queries: DataFrame) -> DataFrame:
+    """Adds dl (tokens of the content) and counts (term and tf of the query's terms that it has), without the content.
+
+    Tokens meet the query's terms in a hash join and are counted before any shuffle.
+    """
+    terms = queries.select("qid", F.explode(query_terms(F.col("text"))).alias("term"))
+    tokens = candidates.select("qid", "vector_id", F.explode(tokenize(F.col("content"))).alias("term"))
+    tf = tokens.join(F.broadcast(terms), ["qid", "term"]).groupBy("qid", "vector_id", "term").agg(F.count("*").cast("int").alias("tf"))  # MAX_QUERIES bounds terms
+    counts = tf.groupBy("qid", "vector_id").agg(F.collect_list(F.struct("term", "tf")).alias("counts"))  # as many as the query has terms
+    slim = candidates.withColumn("dl", F.size(tokenize(F.col("content")))).drop("content").join(counts, ["qid", "vector_id"], "left")
+    return slim.withColumn("counts", F.coalesce("counts", F.array().cast("array<struct<term:string,tf:int>>")))
+
+
 def bm25(candidates: DataFrame, queries: DataFrame) -> DataFrame:
-    """BM25 of each candidate (qid, vector_id, content) against its query's distinct terms.
+    """BM25 of each candidate (qid, vector_id, content, or already prepared) against its query's distinct terms.
 
     The corpus is the query's candidate set. Adds bm25, 0 without a term in common. Scores have 9 places,
     so ties don't hang on the order of summation.
     """
-    terms = queries.select("qid", query_terms(F.col("text")).alias("terms"))
-    docs = candidates.join(F.broadcast(terms), "qid").withColumn("tokens", tokenize(F.col("content")))  # MAX_QUERIES bounds terms
-    whole = Window.partitionBy("qid")
-    docs = docs.withColumns({"dl": F.size("tokens"), "n": F.count("*").over(whole)}).withColumn("avgdl", F.greatest(F.avg("dl").over(whole), F.lit(1.0)))
-    counts = F.filter(F.transform("terms", lambda t: F.struct(t.alias("term"), F.size(F.filter("tokens", lambda x: x == t)).alias("tf"))), lambda x: x["tf"] > 0)
-    hits = docs.select("qid", "vector_id", "dl", "n", "avgdl", F.inline(counts))
-    df = F.count("*").over(Window.partitionBy("qid", "term"))
-    part = F.log(1 + (F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5)) * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("dl") / F.col("avgdl")))
-    scores = hits.withColumn("df", df).groupBy("qid", "vector_id").agg(F.round(F.sum(part), 9).alias("bm25"))
-    return candidates.join(scores, ["qid", "vector_id"], "left").fillna({"bm25": 0.0})
+    if "counts" not in candidates.columns:
+        return candidates.join(bm25(prepared(candidates.select("qid", "vector_id", "content"), queries), queries), ["qid", "vector_id"])
+    rows = candidates
+    df = rows.select("qid", F.inline("counts")).groupBy("qid", "term").agg(F.count("*").alias("df"))
+    stats = rows.groupBy("qid").agg(F.count("*").alias("_n"), F.greatest(F.avg("dl"), F.lit(1.0)).alias("_avgdl"))
+    stats = stats.join(df.groupBy("qid").agg(F.map_from_entries(F.collect_list(F.struct("term", "df"))).alias("_df")), "qid", "left")  # a row a query
+    idf = lambda term: F.log(1 + (F.col("_n") - F.element_at("_df", term) + 0.5) / (F.element_at("_df", term) + 0.5))
+    part = lambda c: idf(c["term"]) * c["tf"] * (K1 + 1) / (c["tf"] + K1 * (1 - B + B * F.col("dl") / F.col("_avgdl")))
+    score = F.round(F.aggregate("counts", F.lit(0.0), lambda s, c: s + part(c)), 9)
+    return rows.join(F.broadcast(stats), "qid").withColumn("bm25", score).drop("_n", "_avgdl", "_df", "dl", "counts")
 
 
 def fused(candidates: DataFrame, queries: DataFrame) -> DataFrame:
@@ -164,12 +178,17 @@ def results(ordered: DataFrame, chunks: DataFrame, files: DataFrame, limit: int)
 def hybrid_search(chunks: DataFrame, vectors: DataFrame, queries: DataFrame, limit: int, scope: str | None = None, rerank: Callable[[Column, Column], Column] | None = None) -> DataFrame:
     """Ordered candidates of all queries: qid, vector_id, file_path, content, cos, bm25, sem, lex, score, ord.
 
-    Scope is applied to the fetched neighbours, so fewer than ``limit`` may be left.
+    Scope is applied to the fetched neighbours, so fewer than ``limit`` may be left. Candidates are
+    ranked without their content, which is joined again to those that are returned or re-ranked.
     """
     found = materialized(knn_batch(vectors, queries, budget(limit, True, bool(scope))), chunks)
     if scope:
         found = found.where(in_scope(F.col("file_path"), F.lit(scope)))
-    ordered = fused(found, queries)
-    if rerank is not None:
-        ordered = reranked(ordered, queries, rerank)
-    return ordered.where(F.col("ord") < limit)
+    ids = durable(found.select("qid", "vector_id", "cos"))  # MAX_QUERIES times the budget at most
+    slim = durable(prepared(materialized(ids, chunks.select("vector_id", "content")), queries))
+    ordered = fused(slim, queries)
+    kept = ordered.where(F.col("ord") < (max(limit, RERANK_TOP) if rerank else limit))
+    full = kept.join(chunks, "vector_id")
+    if rerank is None:
+        return full
+    return reranked(full, queries, rerank).where(F.col("ord") < limit)
