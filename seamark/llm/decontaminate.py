@@ -18,12 +18,12 @@ from .common import durable, if_small, table
 SHINGLE, THRESHOLD = 5, 0.8
 #: Weighted Jaccard 0.8 means about 10 of 64 bits apart, with a standard deviation of 3.
 RADIUS, BITS = 21, 64
-#: A word is a run of what this doesn't match, in lower case.
-BREAK = r"[^0-9a-z\x{80}-\x{10FFFF}]+"
+#: A word of a text in lower case.
+WORD = r"[0-9a-z\x{80}-\x{10FFFF}]+"
 
 
 def word_hashes(text: Column) -> Column:
-    words = F.filter(F.split(F.lower(F.coalesce(text, F.lit(""))), BREAK), lambda w: w != "")
+    words = F.regexp_extract_all(F.lower(F.coalesce(text, F.lit(""))), F.lit(WORD), F.lit(0))
     return F.transform(words, lambda w: F.xxhash64(w))
 
 
