@@ -16,8 +16,8 @@ from seamark.llm import decontaminate, jaccard_join, langid, mixing, toxicity
 from seamark.llm.common import durable, if_small, shared_folder, table
 
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
-#: A language with less probability than this is not known.
-LEAST_LANG = 0.5
+#: A language with less probability than this is not known. Very short texts seldom reach more, and are kept.
+LEAST_LANG = 0.35
 
 
 def _without(docs: DataFrame, ids: DataFrame) -> DataFrame:
