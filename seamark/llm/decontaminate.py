@@ -40,22 +40,19 @@ def shingle_hashes(words: Column) -> Column:
     return F.transform(F.array(words), of)[0]
 
 
-def simhash(bit_sums: list[Column]) -> Column:
-    out = F.lit(0).cast("bigint")
-    for k, s in enumerate(bit_sums):
-        out = out.bitwiseOR(F.when(s > 0, F.lit(-(1 << 63) if k == 63 else 1 << k).cast("bigint")).otherwise(F.lit(0).cast("bigint")))
-    return out
+#: A bit is set where the weights of the hashes that have it outweigh the others. One small expression over an
+#: array: 64 sums side by side would be compiled into very large methods, at a great cost in memory.
+SIMHASH = """aggregate(sequence(0, 63), 0L, (bits, k) -> bits | if(
+    round(aggregate(xs, 0D, (t, e) -> t + if(getbit(e.x, k) = 1, e.w, -e.w)), 9) > 0, shiftleft(1L, k), 0L))"""
 
 
 def _fingerprints(rows: DataFrame, keys: list[str]) -> DataFrame:
     """``rows`` has the keys, s (distinct in a key) and w; returns the keys, total weight and fingerprint.
 
-    What it returns is written: left in the plan, the expression of 64 bits would be copied to each use.
+    What it returns is written: left in the plan, the expression would be copied to each use.
     """
-    mixed = rows.withColumn("x", F.xxhash64("s", F.lit(64)))
-    sums = [F.sum(F.when(F.shiftright("x", k).bitwiseAND(F.lit(1).cast("bigint")) == 1, F.col("w")).otherwise(-F.col("w"))).alias(f"b{k}") for k in range(BITS)]
-    summed = mixed.groupBy(*keys).agg(F.sum("w").alias("total"), *sums)
-    return durable(summed.select(*keys, "total", simhash([F.round(f"b{k}", 9) for k in range(BITS)]).alias("print")))
+    packed = rows.groupBy(*keys).agg(F.sum("w").alias("total"), F.collect_list(F.struct(F.xxhash64("s", F.lit(64)).alias("x"), "w")).alias("xs"))  # as long as a window
+    return durable(packed.select(*keys, "total", F.expr(SIMHASH).alias("print")))
 
 
 def _blocks(fingerprint: Column) -> Column:
