@@ -15,7 +15,7 @@ from .operators.chunk import chunk_files
 from .operators.embed import embedded
 from .sources import settings as cfg
 from .sources.store import Store, upserted, with_meta, without
-from .sources.tree import INDEX_DIR, project_root, scan_store, scan_tree
+from .sources.tree import INDEX_DIR, project_root, scan_store, scan_tree, with_store_texts, with_tree_texts
 from .tables import durable
 
 STUB = cfg.ModelSpec("stub", 64, 0, 0, 0, None, None, "mean", True, 64, 448, False, "deterministic, for tests")
@@ -43,30 +43,44 @@ class Engine:
         batch = cfg.batch_size(self.settings["sync"]["embed_batch_size"], self.spec)
         return embedded(rows, text, "embedding", self.embed, batch, prefix)
 
-    def scan(self, wanted: list[str] | None = None) -> DataFrame:
-        return scan_store(self.spark, self.root) if self.remote else scan_tree(self.spark, self.root, wanted)
+    def scan(self) -> DataFrame:
+        """Path, time and size of all files; no content is read."""
+        found = scan_store(self.spark, self.root) if self.remote else scan_tree(self.spark, self.root)
+        return found.select("path", "last_modified", "size")
+
+    def with_texts(self, asked: DataFrame) -> DataFrame:
+        """``asked`` (path and any other columns, a written table) with the texts of these files."""
+        return with_store_texts(asked, self.root) if self.remote else with_tree_texts(asked, self.root)
 
     def sync(self, force: bool = False) -> dict:
-        """Bring the index in step with the tree; one new version if anything changed."""
+        """Bring the index in step with the tree; one new version if anything changed.
+
+        Contents are read only of files with another time or size than in the last snapshot, and once.
+        """
         began = time.time()
         read = self.store.read
         files, chunks, vectors, meta = (read(x) for x in ("files", "chunks", "vectors", "meta"))
         said = self.store.meta()
-        scan = durable(self.scan())
-        classes = durable(sync.classified(scan, files, force))
-        gone = sync.deleted(scan, files)
-        changed = classes.where("class = 'changed'")
-        fresh = sync.hashed_chunks(chunk_files(changed.select("path", "text"), self.cap))
-        plan = durable(sync.allocated(sync.reuse_plan(durable(fresh), files, chunks, vectors), int(said.get("next_vector_id", sync.FIRST_ID))))
-        stats = sync.stats(classes, gone, plan).first().asDict() | {"elapsed_ms": 0}
-        touched = classes.where("class = 'touched'")
-        if not self.store.version() or stats["files_indexed"] or stats["files_deleted"] or touched.limit(1).count():
-            self._apply(files, chunks, vectors, meta, said, classes, changed, touched, gone, plan)
+        seen = durable(sync.by_stat(self.scan(), files, force))
+        same = seen.where("_same").withColumn("text", F.lit(None).cast("string"))
+        classes = durable(sync.judged(self.with_texts(seen.where("not _same")).unionByName(same), force))
+        gone = durable(sync.deleted(seen, files))
+        changed, touched = classes.where("class = 'changed'"), classes.where("class = 'touched'")
+        kinds = {r["class"]: r["count"] for r in classes.groupBy("class").count().collect()}  # three at most
+        stats = {"files_indexed": kinds.get("changed", 0), "files_skipped": kinds.get("unchanged", 0) + kinds.get("touched", 0), "files_deleted": gone.count(), "chunks_total": 0}
+        if stats["files_indexed"]:
+            fresh = durable(sync.hashed_chunks(chunk_files(changed.select("path", "text"), self.cap)))
+            plan = durable(sync.allocated(sync.reuse_plan(fresh, files, chunks, vectors), int(said.get("next_vector_id", sync.FIRST_ID))))
+            stats["chunks_total"] = plan.count()
+        else:
+            plan = chunks.where("false").drop("file_id").withColumns({"path": F.lit(""), "reuse": F.lit(""), "source_id": F.lit(0).cast("bigint")})
+        if not self.store.version() or stats["files_indexed"] or stats["files_deleted"] or kinds.get("touched"):
+            self._apply(files, chunks, vectors, meta, said, changed, touched, gone, plan)
         else:
             self.store.write(meta=with_meta(meta, self.spark, last_sync_at=_now()))
         return stats | {"elapsed_ms": int((time.time() - began) * 1000)}
 
-    def _apply(self, files, chunks, vectors, meta, said, classes, changed, touched, gone, plan) -> None:
+    def _apply(self, files, chunks, vectors, meta, said, changed, touched, gone, plan) -> None:
         # file ids: kept by path, new ones above all that were ever given
         new_paths = changed.where("file_id is null").select("path", F.lit(0).alias("chunk_index"), F.lit("fresh").alias("reuse"), F.lit(None).cast("bigint").alias("source_id"))
         ids = sync.allocated(new_paths, int(said.get("next_file_id", 1))).select("path", F.col("vector_id").alias("new_id"))
@@ -104,8 +118,8 @@ class Engine:
         chunks, vectors = self._index()
         rerank = self.rerank if cfg.rerank_enabled(self.settings, self.spec) else None
         ordered = durable(search.hybrid_search(chunks, vectors, asked, limit, scope or None, rerank).select("qid", "vector_id", "score", "ord"))
-        texts_of = self.scan().select("path", "text")
-        found = search.results(ordered, chunks, texts_of, limit).orderBy("qid", "ord").collect()
+        hit = durable(ordered.where(F.col("ord") < limit).join(chunks.select("vector_id", F.col("file_path").alias("path")), "vector_id").select("path").distinct())
+        found = search.results(ordered, chunks, self.with_texts(hit), limit).orderBy("qid", "ord").collect()
         return [(r.qid, r.asDict(recursive=True)) for r in found]
 
     def status(self) -> dict:

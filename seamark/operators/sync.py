@@ -24,18 +24,27 @@ def first_of_path(scan: DataFrame) -> DataFrame:
     return scan.withColumn("_k", F.row_number().over(order)).where("_k = 1").drop("_k")
 
 
+def by_stat(scan: DataFrame, files: DataFrame, force: bool = False) -> DataFrame:
+    """Scan rows with file_id and _hash of the last snapshot, and _same: same time and size, unless forced."""
+    known = files.select("path", "file_id", F.col("last_modified").alias("_mtime"), F.col("size").alias("_size"), F.col("content_hash").alias("_hash"))
+    same = (F.col("last_modified") == F.col("_mtime")) & (F.col("size") == F.col("_size")) & F.lit(not force)
+    return first_of_path(scan).join(known, "path", "left").withColumn("_same", F.coalesce(same, F.lit(False))).drop("_mtime", "_size")
+
+
+def judged(rows: DataFrame, force: bool = False) -> DataFrame:
+    """Rows of ``by_stat`` that also have text, with file_hash and class in place of _hash and _same."""
+    # the text of a row that is the same by stat is not hashed
+    rows = rows.withColumn("file_hash", F.when(~F.col("_same"), digest(F.col("text"))))
+    kind = F.when(F.col("_same") | F.col("text").isNull() | (F.col("text") == ""), "unchanged").when(F.col("file_hash") == F.col("_hash"), F.lit("changed" if force else "touched")).otherwise("changed")
+    return rows.withColumn("class", kind).drop("_hash", "_same")
+
+
 def classified(scan: DataFrame, files: DataFrame, force: bool = False) -> DataFrame:
     """Scan rows with file_hash, file_id and class: unchanged, touched or changed.
 
     Same time and size (unless forced), or no text: unchanged; the same hash: touched; else changed.
     """
-    known = files.select("path", "file_id", F.col("last_modified").alias("_mtime"), F.col("size").alias("_size"), F.col("content_hash").alias("_hash"))
-    same_stat = (F.col("last_modified") == F.col("_mtime")) & (F.col("size") == F.col("_size")) & F.lit(not force)
-    # the text of a row that is the same by stat is not hashed
-    hashed = F.when(~F.coalesce(same_stat, F.lit(False)), digest(F.col("text")))
-    rows = first_of_path(scan).join(known, "path", "left").withColumn("file_hash", hashed)
-    kind = F.when(same_stat, "unchanged").when(F.col("text").isNull() | (F.col("text") == ""), "unchanged").when(F.col("file_hash") == F.col("_hash"), F.lit("changed" if force else "touched")).otherwise("changed")
-    return rows.withColumn("class", kind).drop("_mtime", "_size", "_hash")
+    return judged(by_stat(scan, files, force), force)
 
 
 def deleted(scan: DataFrame, files: DataFrame) -> DataFrame:
@@ -110,11 +119,5 @@ def stats(classes: DataFrame, gone: DataFrame, plan: DataFrame) -> DataFrame:
     return seen.crossJoin(gone.agg(F.count("*").alias("files_deleted"))).crossJoin(plan.agg(F.count("*").alias("chunks_total")))  # one row each
 
 
-def same_stat_first(scan_stat: DataFrame, files: DataFrame) -> DataFrame:
-    """Paths whose content has to be read: those new or with another time or size. Content isn't scanned for the rest."""
-    known = files.select("path", "last_modified", "size")
-    return scan_stat.join(known, ["path", "last_modified", "size"], "left_anti")
-
-
 def short_root(root: Column) -> Column:
     return F.left(root, F.lit(16))

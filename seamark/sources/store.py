@@ -30,7 +30,11 @@ class Store:
         pointer = self._path(f"{self.root}/current")
         if not self._fs.exists(pointer):
             return 0
-        return int(self.spark.read.text(f"{self.root}/current").first()[0])
+        line = self._fs.open(pointer)
+        try:
+            return int(self.spark.sparkContext._jvm.org.apache.commons.io.IOUtils.toString(line, "UTF-8"))
+        finally:
+            line.close()
 
     def read(self, name: str) -> DataFrame:
         v = self.version()

@@ -13,16 +13,23 @@ from collections.abc import Callable, Iterator
 from pathlib import Path
 
 import pandas as pd
+import pyarrow as pa
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType, StructField, StructType
 
 from ..functions.text import is_text
+from ..tables import if_small
 
 INDEX_DIR = ".seamark"
 # Folders that hold no sources.
 EXCLUDED_DIRS = (INDEX_DIR, "target", "node_modules", ".venv", "venv", "env", ".env", "__pycache__", "dist", "build", ".git", ".svn", ".hg")
 SNIFF = 8192
-SCAN = "path string, last_modified bigint, size bigint, text string"
+STAT = "path string, last_modified bigint, size bigint"
+SCAN = f"{STAT}, text string"
+#: Files whose contents are held at once, and the most files that are opened by name on a store.
+READ_ROWS, NAMED = 64, 10_000
 
 
 def is_excluded(path: Column, dirs: tuple[str, ...] = EXCLUDED_DIRS, parts: tuple[str, ...] = ()) -> Column:
@@ -164,34 +171,72 @@ def stat_of(path: Path) -> tuple[int, int]:
     return int(s.st_mtime), s.st_size
 
 
-def scan_tree(spark: SparkSession, root: str | Path, wanted: list[str] | None = None) -> DataFrame:
-    """Rows of ``SCAN`` for a local tree; with ``wanted``, texts of those paths only (null for others)."""
+def scan_tree(spark: SparkSession, root: str | Path) -> DataFrame:
+    """Path, time and size of the files of a local tree; no content is read."""
     root = Path(root).resolve()
     paths = collect_files(root)
-    some = None if wanted is None else set(wanted)
-    rows = [(p, str(root), some is None or p in some) for p in paths]
-    listed = spark.createDataFrame(rows, "path string, root string, read boolean")
+    listed = spark.createDataFrame([(p,) for p in paths], "path string")
+    top = str(root)
 
-    def read(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def look(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in parts:
-            files = [Path(r) / p for r, p in zip(pdf["root"], pdf["path"], strict=True)]
-            stats = [stat_of(f) for f in files]
-            texts = [read_text(f) if ok else None for f, ok in zip(files, pdf["read"], strict=True)]
-            yield pd.DataFrame({"path": pdf["path"], "last_modified": [s[0] for s in stats], "size": [s[1] for s in stats], "text": texts})
+            stats = [stat_of(Path(top) / p) for p in pdf["path"]]
+            yield pd.DataFrame({"path": pdf["path"], "last_modified": [s[0] for s in stats], "size": [s[1] for s in stats]})
 
-    return listed.repartition(max(1, len(paths) // 128 + 1)).mapInPandas(read, SCAN)
+    return listed.repartition(len(paths) // 1024 + 1).mapInPandas(look, STAT)
 
 
-def scan_store(spark: SparkSession, root: str) -> DataFrame:
-    """Rows of ``SCAN`` for a tree on any store that Spark reads, by fixed exclusions.
+def with_tree_texts(asked: DataFrame, root: str | Path) -> DataFrame:
+    """``asked`` (path and any other columns, a written table) with text: null if unreadable or not text.
+
+    Only paths are dealt out; contents go from the file to the row, READ_ROWS files at a time.
+    """
+    top, names = str(Path(root).resolve()), [*asked.columns, "text"]
+
+    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for k in range(0, batch.num_rows, READ_ROWS):
+                part = batch.slice(k, READ_ROWS)
+                texts = [read_text(Path(top) / p) for p in part.column("path").to_pylist()]
+                yield pa.RecordBatch.from_arrays([*part.columns, pa.array(texts, pa.string())], names=names)
+
+    return asked.repartition(asked.count() // 128 + 1).mapInArrow(read, StructType([*asked.schema.fields, StructField("text", StringType())]))
+
+
+def _store_files(spark: SparkSession, root: str, only: list[str] | None = None) -> DataFrame:
+    """path, last_modified, size and text of the files below ``root``, or of those named in it.
 
     ``content`` is only read where ``text`` is selected: time and size alone don't need it.
     """
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(root)
+    reader = spark.read.format("binaryFile")
+    if only is None:
+        files = reader.option("recursiveFileLookup", "true").load(root)
+    else:
+        files = reader.load([root.rstrip("/") + "/" + re.sub(r"([\[\]{}*?\\])", r"\\\1", p) for p in only])
     top = re.sub(r"^[a-z]+:/+", "/", root.rstrip("/"))
     path = F.expr(f"substring(regexp_replace(path, '^[a-z]+:/+', '/'), {len(top) + 2})")
     text = F.when(is_text(F.col("content")), F.col("content").cast("string"))
-    return files.select(path.alias("path"), F.unix_seconds("modificationTime").alias("last_modified"), F.col("length").alias("size"), text.alias("text")).where(~is_excluded(F.col("path")))
+    return files.select(path.alias("path"), F.unix_seconds("modificationTime").alias("last_modified"), F.col("length").alias("size"), text.alias("text"))
+
+
+def scan_store(spark: SparkSession, root: str) -> DataFrame:
+    """Rows of ``SCAN`` for a tree on any store that Spark reads, by fixed exclusions."""
+    return _store_files(spark, root).where(~is_excluded(F.col("path")))
+
+
+def with_store_texts(asked: DataFrame, root: str) -> DataFrame:
+    """As ``with_tree_texts`` for a tree on a store; files that are gone by now have no row.
+
+    Up to NAMED files are opened by name; for more the tree is scanned and joined, and nothing is gathered.
+    """
+    some = [r.path for r in asked.select("path").limit(NAMED + 1).collect()]
+    if not some:
+        return asked.withColumn("text", F.lit(None).cast("string"))
+    try:
+        files = _store_files(asked.sparkSession, root, some if len(some) <= NAMED else None)
+    except AnalysisException:  # one of them is gone
+        files = _store_files(asked.sparkSession, root)
+    return files.select("path", "text").join(if_small(asked), "path").select(*asked.columns, "text")
 
 
 def git_top(folder: Path) -> Path | None:

@@ -8,6 +8,7 @@ from seamark.cli import Server, main
 from seamark.engine import STUB, Engine
 from seamark.operators import inspect
 from seamark.sources import corpora, settings, tree
+from seamark.tables import durable
 
 
 @pytest.fixture
@@ -88,6 +89,30 @@ def test_store_scan(spark, project):
     assert set(got) == {"auth.py", "cache.rs", "geo/dist.py", "bin.dat"} and got["bin.dat"].text is None and got["auth.py"].size == (project / "auth.py").stat().st_size
 
 
+def test_texts_of_named_files(spark, project, monkeypatch):
+    (project / "a[1].md").write_text("é")
+    asked = durable(spark.createDataFrame([("auth.py", 2**60 + 1), ("a[1].md", None), ("bin.dat", 3), ("gone.py", 4)], "path string, n bigint"))
+    want = {"auth.py": (2**60 + 1, (project / "auth.py").read_text()), "a[1].md": (None, "é"), "bin.dat": (3, None)}
+    got = lambda df: {r.path: (r.n, r.text) for r in df.collect()}
+    assert got(tree.with_tree_texts(asked, project)) == want | {"gone.py": (4, None)}
+    assert got(tree.with_store_texts(asked, str(project))) == want  # by a scan, as one is gone
+    there = durable(asked.where("path <> 'gone.py'"))
+    assert got(tree.with_store_texts(there, str(project))) == want
+    monkeypatch.setattr(tree, "NAMED", 1)
+    assert got(tree.with_store_texts(there, str(project))) == want
+    assert tree.with_store_texts(durable(there.where("false")), str(project)).count() == 0
+
+
+def test_unchanged_files_are_not_read(spark, project, monkeypatch):
+    e = Engine(spark, str(project))
+    e.sync()
+    (project / "auth.py").write_text("def other():\n    pass\n")
+    asked, read = [], e.with_texts
+    monkeypatch.setattr(e, "with_texts", lambda rows: asked.extend(r.path for r in rows.collect()) or read(rows))
+    assert e.sync()["files_indexed"] == 1
+    assert sorted(asked) == ["auth.py", "bin.dat"]  # what isn't text is not in the snapshot
+
+
 def test_project_root(tmp_path):
     none = lambda _: None
     home = tmp_path / "home"
