@@ -111,7 +111,7 @@ def scan_texts(column: pa.Array, classes: list[Class]) -> list[tuple[int, str, f
     for ci, c in enumerate(classes):
         # windows may cross into the next text: that only adds to a window, and verification keeps to one text
         padded = len(shingle) + c.window - 1
-        where = np.arange(0, len(shingle), c.step)
+        where = np.union1d(np.arange(0, len(shingle), c.step), [len(shingle) - 1])  # the last window ends with the last text
         for b in range(BANDS):
             mins = []
             for r in range(ROWS):

@@ -47,3 +47,17 @@ def test_passages_and_odd_rows(spark, odd, nothing):
     assert [(r.doc_id, r.license, r.start_word, r.n_passages) for r in got] == [(1, "mit", 0, 2)]
     assert L.scan_licenses(odd).count() == 0 and L.scan_licenses(nothing).count() == 0
     assert L.scan_licenses(docs, {"none": "!!"}).count() == 0
+
+
+def test_near_copies_end_a_batch():
+    import pyarrow as pa
+
+    classes = L.index()
+    for name, at in (("mit-grant", 20), ("gpl-3.0", 0)):
+        template = L.TEMPLATES[name].split()
+        near = " ".join([*template[:at], "changed", *template[at + 1 :]])
+        for k in range(2 * max(c.step for c in classes)):
+            for notice in (L.TEMPLATES[name], near):
+                text = " ".join([*(f"w{i}" for i in range(k)), notice])
+                got = {r[1]: r[2] for r in L.scan_texts(pa.array([text]), classes)}
+                assert got.get(name) == brute(text)[name], (name, k, got)
