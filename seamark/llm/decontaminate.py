@@ -1,8 +1,8 @@
 """Benchmark decontamination by SimHash over item-sized windows (DataFrame operations only).
 
-A window of a document that is similar to an item shares shingles with it, so item-sized windows
-are placed only where an item's shingle stands in a document, at the offset at which the item has
-it: that leaves out no window that could be similar. Each window and item gets a 64-bit SimHash of its
+A similarity of t needs shingles of t times the item's weight within the window, so every item-sized
+window that holds as much of an item is taken, wherever it begins (a reordered passage has none that begins
+where the item would), and no other could be similar. Each window and item gets a 64-bit SimHash of its
 weighted shingles. The index cuts fingerprints into RADIUS + 1 blocks: two fingerprints within
 RADIUS bits agree in a block at least, so looking up (size, block, value) finds all of them. Candidates
 are verified by exact weighted shingle similarity.
@@ -67,7 +67,7 @@ def contaminated(docs: DataFrame, items: DataFrame, threshold: float = THRESHOLD
     """Where texts of ``docs`` (doc_id, text) repeat ``items`` (item_id, text).
 
     Weights are ln(1 + items / items that have the shingle), of a shingle in no item as if in one. One row
-    a document and item whose most similar item-sized window reaches ``threshold`` in weighted
+    a document and item whose most similar item-sized window, of all starts, reaches ``threshold`` in weighted
     Jaccard similarity of shingle sets: doc_id, item_id, similarity (6 places), start_word and n_words of
     that window (of several the first). Items and texts of fewer than five words have no shingle and match
     nothing, nor do nulls; rows with a null id are left out, as they can't be named. Of texts
@@ -79,16 +79,24 @@ def contaminated(docs: DataFrame, items: DataFrame, threshold: float = THRESHOLD
     # equal items are looked up once
     unique = durable(texts.groupBy("s").agg(F.min("item_id").alias("item"), F.collect_set("item_id").alias("item_ids")).withColumn("m", F.size("s")))
     n_items = float(unique.count())
-    places = unique.select("item", "m", F.posexplode("s").alias("q", "s"))
-    weights = durable(places.groupBy("s").agg(F.log(1 + F.lit(n_items) / F.count_distinct("item")).alias("w")))
-    places = durable(places.groupBy("s").agg(F.collect_set(F.struct("q", "m")).alias("at")))
+    places = unique.select("item", "m", F.posexplode("s").alias("q", "s")).groupBy("s", "item", "m").agg(F.collect_list("q").alias("qs"))
+    weights = durable(places.groupBy("s").agg(F.log(1 + F.lit(n_items) / F.count("item")).alias("w")))
+    places = places.join(if_small(weights), "s")
+    # the weight that a window must share, with room for the rounding of similarities
+    least = durable(places.groupBy("item").agg((F.sum("w") * (threshold - 1e-6) - 1e-9).alias("least")))
+    places = durable(places.join(if_small(least), "item").groupBy("s").agg(F.collect_list(F.struct("item", "m", "least", "w", "qs")).alias("at")))
     unseen = F.log(F.lit(1 + n_items))
-    # windows: where an item's shingle stands, less its offset in the item
+    # windows: every start from which a window reaches the shingle; aligned is the start less the offset in the item
     seen = docs.select("doc_id", F.posexplode(shingle_hashes(word_hashes(F.col("text")))).alias("p", "s")).join(if_small(places), "s")
-    spots = seen.select("doc_id", F.explode(F.transform("at", lambda a: F.struct(F.greatest(F.col("p") - a["q"], F.lit(0)).alias("a"), a["m"].alias("m")))).alias("x"))
-    windows = durable(spots.groupBy("doc_id").agg(F.collect_set("x").alias("windows")))
+    spots = seen.select("doc_id", "p", F.explode("at").alias("x"))
+    starts = F.transform(F.sequence(F.greatest(F.col("p") - F.col("x.m") + 1, F.lit(0)), F.col("p")), lambda a: F.struct(a.alias("a"), F.exists("x.qs", lambda q: F.greatest(F.col("p") - q, F.lit(0)) == a).alias("aligned")))
+    spots = spots.select("doc_id", "x.item", "x.m", "x.least", "x.w", F.inline(starts))
+    held = spots.groupBy("doc_id", "item", "m", "least", "a").agg(F.sum("w").alias("held"), F.max("aligned").alias("aligned")).where("held >= least")
+    windows = durable(held.groupBy("doc_id").agg(F.collect_set(F.struct("a", "m", "aligned")).alias("windows")))
     again = docs.join(if_small(windows), "doc_id").select("doc_id", "windows", shingle_hashes(word_hashes(F.col("text"))).alias("all"))
-    cut = again.select("doc_id", F.explode(F.transform("windows", lambda x: F.struct(x["a"].alias("a"), x["m"].alias("m"), F.array_distinct(F.slice("all", x["a"] + 1, x["m"])).alias("s")))).alias("x"))
+    # only an aligned window may run over the end of its text
+    whole = F.filter("windows", lambda x: x["aligned"] | (x["a"] <= F.greatest(F.size("all") - x["m"], F.lit(0))))
+    cut = again.select("doc_id", F.explode(F.transform(whole, lambda x: F.struct(x["a"].alias("a"), x["m"].alias("m"), F.array_distinct(F.slice("all", x["a"] + 1, x["m"])).alias("s")))).alias("x"))
     cut = durable(cut.select("doc_id", "x.a", "x.m", "x.s").where("size(s) > 0").dropDuplicates(["doc_id", "a", "m", "s"]).withColumn("id", F.xxhash64("doc_id", "a", "m", "s")))
     weigh = lambda rows: rows.join(if_small(weights), "s", "left").withColumn("w", F.coalesce("w", unseen))
     window_prints = _fingerprints(weigh(cut.select("id", F.explode("s").alias("s"))), ["id"])

@@ -41,3 +41,26 @@ def test_blocks_cover_the_fingerprint(spark):
         rows.append((a - (1 << 63), b - (1 << 63)))
     df = spark.createDataFrame(rows, "a bigint, b bigint").select(F.size(F.array_intersect(D._blocks(F.col("a")), D._blocks(F.col("b")))).alias("n"))
     assert df.agg(F.min("n")).first()[0] >= 1
+
+
+def all_windows(text, item):
+    """Similarity and start of the best item-sized window over all starts, of one item (all weights are equal)."""
+    cut = lambda t: [tuple(t.split()[i : i + D.SHINGLE]) for i in range(len(t.split()) - D.SHINGLE + 1)]
+    s, want = cut(text), cut(item)
+    found = []
+    for a in range(max(1, len(s) - len(want) + 1)):
+        own = set(s[a : a + len(want)])
+        found.append((round(len(own & set(want)) / len(own | set(want)), 6), -a))
+    return max(found)
+
+
+def test_reordered_passages(spark):
+    pad = " ".join(f"p{i}" for i in range(60))
+    for n in (40, 50, 59):
+        words = [f"w{i}" for i in range(n)]
+        item, h, third = " ".join(words), n // 2, n // 3
+        swapped = " ".join(words[h:] + words[:h])
+        texts = [f"{pad} {swapped} {pad}", swapped, f"{pad} {swapped}", f"{swapped} {pad}", f"{pad} {' '.join(words[2 * third :] + words[third : 2 * third] + words[:third])} {pad}", f"{pad} {' '.join([*words[:h], 'x', *words[h:]])} {pad}", f"{pad} {item}"]
+        got = {d: (r.similarity, -r.start_word) for (d, _), r in run(spark, texts, (item,)).items()}
+        want = {d: all_windows(t, item) for d, t in enumerate(texts)}
+        assert got == {d: x for d, x in want.items() if x[0] >= D.THRESHOLD} and {0, 1, 2, 3, 6} <= set(got), (n, got, want)
