@@ -17,11 +17,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import kernels
-from .common import held_out, table
+from .common import durable, held_out, if_small, table
 
 WINDOW, WIDTHS, FILTERS = 128, (2, 3, 4), 12
-#: At most so many languages (the most frequent), and about so many training windows for each.
-MAX_LANGS, TRAIN_WINDOWS, WINDOWS_A_TEXT = 64, 2000, 4
+#: About so many training windows for each language.
+TRAIN_WINDOWS, WINDOWS_A_TEXT = 2000, 4
 EPOCHS, BATCH, SEED = 4, 64, 11
 SLICE_BYTES = 1 << 20
 UNKNOWN = "und"
@@ -69,10 +69,11 @@ def train(texts: list[str], langs: list[str]) -> Net | None:
     names = sorted(set(langs))
     if not names:
         return None
+    place = {x: k for k, x in enumerate(names)}
     rng = np.random.Generator(np.random.PCG64(SEED))
     windows, text, length = windows_of(pa.array(texts, pa.string()))
     good = length >= min(24, int(length.max(initial=0)))
-    windows, y = windows[good], np.array([names.index(x) for x in langs])[text[good]]
+    windows, y = windows[good], np.array([place[x] for x in langs])[text[good]]
     net = Net(names, [(rng.standard_normal((w, 256, FILTERS)) * 0.3).astype(np.float32) for w in WIDTHS], (rng.standard_normal((len(WIDTHS) * FILTERS, len(names))) * 0.2).astype(np.float32), np.zeros(len(names), np.float32))
     params = [*net.filters, net.dense, net.bias]
     moment, square, step = [np.zeros_like(p) for p in params], [np.zeros_like(p) for p in params], 0
@@ -114,21 +115,19 @@ def train(texts: list[str], langs: list[str]) -> Net | None:
 def fit(docs: DataFrame, train_windows: int = TRAIN_WINDOWS) -> Net | None:
     """Learn from ``docs`` (doc_id, text, lang); rows without text or lang don't count.
 
-    The sample is bounded: of each of the MAX_LANGS most frequent languages about
-    ``train_windows`` windows, WINDOWS_A_TEXT a text, of the texts with the smallest hashes of
-    their ids, at places that the hash chooses.
+    Every language that occurs is learned. The sample is bounded: of each about ``train_windows``
+    windows, WINDOWS_A_TEXT a text, of the texts with the smallest hashes of their ids, at places
+    that the hash chooses.
     """
     docs = docs.where("lang is not null and text is not null and doc_id is not null")
-    counts = docs.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").limit(MAX_LANGS).collect()
-    if not counts:
-        return None
     texts = max(1, train_windows // WINDOWS_A_TEXT)
-    share = F.lit(None).cast("double")
-    for r in counts:
-        share = F.when(F.col("lang") == r.lang, min(1.0, texts / r.n)).otherwise(share)
+    shares = durable(docs.groupBy("lang").agg(F.least(F.lit(1.0), texts / F.count("*")).alias("share")))
+    n_langs = shares.count()
+    if not n_langs:
+        return None
     draw = F.pmod(F.xxhash64("doc_id", F.lit(3)), F.lit(1_000_000)) / 1_000_000
     spots = [F.substring("text", F.pmod(F.xxhash64("doc_id", F.lit(k)), F.greatest(F.length("text") - WINDOW, F.lit(1))) + 1, F.lit(WINDOW)) for k in range(WINDOWS_A_TEXT)]
-    rows = docs.where(draw < share).select("lang", F.array(*spots).alias("windows")).limit(4 * texts * len(counts)).collect()
+    rows = docs.join(if_small(shares), "lang").where(draw < F.col("share")).select("lang", F.array(*spots).alias("windows")).limit(4 * texts * n_langs).collect()
     rows.sort(key=lambda r: (r.lang, r.windows))
     pairs = [(w, r.lang) for r in rows for w in r.windows]
     return train([w for w, _ in pairs], [x for _, x in pairs])

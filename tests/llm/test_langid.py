@@ -23,3 +23,12 @@ def test_whole_text_counts(spark):
 
     windows, text, length = windows_of(pa.array(["a" * (WINDOW * 3 + 5), None, "b"]))
     assert text.tolist() == [0, 0, 0, 0, 2] and length.tolist() == [WINDOW, WINDOW, WINDOW, 5, 1] and windows[3, 5] == 0
+
+
+def test_every_language_is_learned(spark):
+    rows = [(100 * k + i, f"{chr(0x4E00 + 40 * k)}{chr(0x4E01 + 40 * k)} " * 30, f"l{k:02}") for k in range(70) for i in range(6 if k else 3)]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string, lang string")
+    net = G.fit(docs)
+    assert net.langs == sorted({r[2] for r in rows})
+    got = {r.doc_id: r.lang_pred for r in G.predict(docs, net).collect()}
+    assert {got[i] for i in range(3)} == {"l00"}
