@@ -5,9 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from ..tables import durable, if_small, shared_folder, table
+from ..tables import BROADCAST_BYTES, bytes_of, durable, if_small, removed, shared_folder, table, tidy
 
-__all__ = ["durable", "held_out", "if_small", "shared_folder", "table"]
+__all__ = ["BROADCAST_BYTES", "bytes_of", "durable", "held_out", "if_small", "removed", "shared_folder", "table", "tidy"]
 
 
 def held_out(column: str, modulus: int, remainder: int) -> Column:

@@ -1,23 +1,34 @@
 """Benchmark decontamination by SimHash over item-sized windows (DataFrame operations only).
 
-A similarity of t needs shingles of t times the item's weight within the window, so every item-sized
-window that holds as much of an item is taken, wherever it begins (a reordered passage has none that begins
-where the item would), and no other could be similar. Each window and item gets a 64-bit SimHash of its
-weighted shingles. The index cuts fingerprints into RADIUS + 1 blocks: two fingerprints within
-RADIUS bits agree in a block at least, so looking up (size, block, value) finds all of them. Candidates
-are verified by exact weighted shingle similarity.
+An item-sized window is any run of an item's number of shingles in a text, those that hang over the text's
+beginning or end included. A weighted Jaccard similarity of t needs shared shingles of t times the item's weight,
+so the running sums of shared weight along a text say which windows could be similar at all; all others
+are left out without loss. Windows with the same content are handled once, whatever number of texts holds them.
+
+Each content and item gets a 64-bit SimHash whose bits are the signs of sums of +-sqrt(weight). The cosine of two such
+vectors is the shared weight over the geometric mean of both totals, at least 2t / (1 + t) for similarity t:
+0.889 for 0.8, or 9.7 of 64 bits apart with a standard deviation of 2.9. RADIUS is 3.6 of these above.
+
+The multi-index cuts a fingerprint into BLOCKS blocks. Two fingerprints within RADIUS bits are within
+REACH[k] bits in some block k, because the REACH sum to RADIUS - BLOCKS + 1. The items' side lists every value within that reach,
+so that a window looks up one value a block, and finds all fingerprints within the radius. Candidates are verified by
+exact weighted shingle similarity.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
-from .common import durable, if_small, table
+from .common import BROADCAST_BYTES, bytes_of, durable, if_small, table, tidy
 
 SHINGLE, THRESHOLD = 5, 0.8
-#: Weighted Jaccard 0.8 means about 10 of 64 bits apart, with a standard deviation of 3.
-RADIUS, BITS = 21, 64
+BITS, BLOCKS, RADIUS = 64, 5, 20
+EDGES = [BITS * k // BLOCKS for k in range(BLOCKS + 1)]
+REACH = [(RADIUS - BLOCKS + 1 + k) // BLOCKS for k in range(BLOCKS)]
+#: Places of a text whose windows are cut by one row.
+STRETCH = 4096
 #: A word of a text in lower case.
 WORD = r"[0-9a-z\x{80}-\x{10FFFF}]+"
 
@@ -40,79 +51,112 @@ def shingle_hashes(words: Column) -> Column:
     return F.transform(F.array(words), of)[0]
 
 
-#: A bit is set where the weights of the hashes that have it outweigh the others. One small expression over an
+#: A bit is set where the hashes that have it outweigh the others. One small expression over an
 #: array: 64 sums side by side would be compiled into very large methods, at a great cost in memory.
 SIMHASH = """aggregate(sequence(0, 63), 0L, (bits, k) -> bits | if(
-    round(aggregate(xs, 0D, (t, e) -> t + if(getbit(e.x, k) = 1, e.w, -e.w)), 9) > 0, shiftleft(1L, k), 0L))"""
+    round(aggregate(xs, 0D, (t, e) -> t + if(getbit(e.x, k) = 1, e.r, -e.r)), 9) > 0, shiftleft(1L, k), 0L))"""
 
 
 def _fingerprints(rows: DataFrame, keys: list[str]) -> DataFrame:
-    """``rows`` has the keys, s (distinct in a key) and w; returns the keys, total weight and fingerprint.
+    """``rows`` has the keys, s (distinct in a key) and w; returns the keys, xs (s and w), total weight and fingerprint.
 
     What it returns is written: left in the plan, the expression would be copied to each use.
     """
-    packed = rows.groupBy(*keys).agg(F.sum("w").alias("total"), F.collect_list(F.struct(F.xxhash64("s", F.lit(64)).alias("x"), "w")).alias("xs"))  # as long as a window
-    return durable(packed.select(*keys, "total", F.expr(SIMHASH).alias("print")))
+    entry = F.struct("s", "w", F.sqrt("w").alias("r"), F.xxhash64("s", F.lit(64)).alias("x"))
+    packed = rows.groupBy(*keys).agg(F.sum("w").alias("total"), F.array_sort(F.collect_list(entry)).alias("xs"))  # as long as a window
+    return durable(packed.select(*keys, "total", F.expr(SIMHASH).alias("print"), F.transform("xs", lambda e: F.struct(e["s"].alias("s"), e["w"].alias("w"))).alias("xs")))
 
 
-def _blocks(fingerprint: Column) -> Column:
-    """Number and value of each of the RADIUS + 1 blocks of bits."""
-    n = RADIUS + 1
-    edges = [BITS * k // n for k in range(n + 1)]
-    parts = [F.struct(F.lit(k).alias("block"), F.shiftrightunsigned(fingerprint, edges[k]).bitwiseAND(F.lit((1 << (edges[k + 1] - edges[k])) - 1).cast("bigint")).alias("value")) for k in range(n)]
-    return F.array(*parts)
+def blocks(fingerprint: Column) -> list[Column]:
+    """The values of the BLOCKS blocks of bits."""
+    return [F.shiftrightunsigned(fingerprint, EDGES[k]).bitwiseAND(F.lit((1 << (EDGES[k + 1] - EDGES[k])) - 1).cast("bigint")) for k in range(BLOCKS)]
 
 
+def looked_up(fingerprint: Column) -> Column:
+    """Where a window looks: block and value, one a block."""
+    return F.array(*(F.struct(F.lit(k).alias("block"), v.alias("value")) for k, v in enumerate(blocks(fingerprint))))
+
+
+def listed(fingerprint: Column) -> Column:
+    """Where an item is listed: block and value, every value within the block's reach."""
+    def near(k: int, value: Column) -> Column:
+        every = F.sequence(F.lit(0).cast("bigint"), F.lit((1 << (EDGES[k + 1] - EDGES[k])) - 1).cast("bigint"))
+        masks = F.filter(every, lambda x: F.bit_count(x) <= REACH[k])
+        return F.transform(masks, lambda x: F.struct(F.lit(k).alias("block"), x.bitwiseXOR(value).alias("value")))
+
+    return F.concat(*(near(k, v) for k, v in enumerate(blocks(fingerprint))))
+
+
+def _windows(docs: DataFrame, known: DataFrame, postings: DataFrame) -> DataFrame:
+    """doc_id, h, a, m: first place (below 0 for one that hangs over) and size of each window that holds enough of an item.
+
+    A window holds a shingle if the shingle's last place before the window's end lies in it, so each hit
+    counts from a window's size before it, or just after the same shingle's hit before, up to itself.
+    """
+    text = ["doc_id", "h"]
+    hits = docs.select(*text, F.posexplode(shingle_hashes(word_hashes(F.col("text")))).alias("p", "s")).join(known, "s", "left_semi")
+    hits = hits.distinct().join(postings, "s")  # equal rows of an id are one
+    own = [*text, "item", "m", "least"]
+    before = F.lag("p").over(Window.partitionBy(*text, "item", "s").orderBy("p"))
+    hits = hits.withColumn("a", F.greatest(F.col("p") - F.col("m") + 1, F.coalesce(before + 1, F.col("p") - F.col("m") + 1)))
+    steps = hits.select(*own, F.inline(F.array(F.struct("a", "w"), F.struct((F.col("p") + 1).alias("a"), (-F.col("w")).alias("w")))))
+    steps = steps.groupBy(*own, "a").agg(F.sum("w").alias("w"))
+    along = Window.partitionBy(*text, "item").orderBy("a")
+    held = steps.select(*own, "a", F.sum("w").over(along).alias("held"), F.lead("a").over(along).alias("stop")).where("held >= least and stop is not null")
+    return held.select(*text, "m", F.explode(F.sequence("a", F.col("stop") - 1)).alias("a")).distinct()
+
+
+@tidy
 def contaminated(docs: DataFrame, items: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """Where texts of ``docs`` (doc_id, text) repeat ``items`` (item_id, text).
 
     Weights are ln(1 + items / items that have the shingle), of a shingle in no item as if in one. One row
-    a document and item whose most similar item-sized window, of all starts, reaches ``threshold`` in weighted
+    a document and item whose most similar item-sized window reaches ``threshold`` in weighted
     Jaccard similarity of shingle sets: doc_id, item_id, similarity (6 places), start_word and n_words of
-    that window (of several the first). Items and texts of fewer than five words have no shingle and match
-    nothing, nor do nulls; rows with a null id are left out, as they can't be named. Of texts
-    that share an id the most similar window counts. Other columns are ignored.
+    that window (of equally similar ones the first, then the shortest).
+
+    Items and texts of fewer than five words have no shingle and match nothing, nor do nulls; rows with a null id
+    are left out, as they can't be named. Of different texts that share an id the most similar window counts, and repeated
+    rows count once. Very long texts are cut into stretches of STRETCH places. Empty tables give no rows.
+    Other columns are ignored.
     """
-    spark = docs.sparkSession
-    docs = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text").where("doc_id is not null")
+    docs = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text").where("doc_id is not null and text is not null").withColumn("h", F.xxhash64("text"))
     texts = items.where("item_id is not null").select(F.col("item_id").cast("bigint").alias("item_id"), shingle_hashes(word_hashes(F.col("text"))).alias("s")).where("size(s) > 0")
     # equal items are looked up once
     unique = durable(texts.groupBy("s").agg(F.min("item_id").alias("item"), F.collect_set("item_id").alias("item_ids")).withColumn("m", F.size("s")))
     n_items = float(unique.count())
-    places = unique.select("item", "m", F.posexplode("s").alias("q", "s")).groupBy("s", "item", "m").agg(F.collect_list("q").alias("qs"))
-    weights = durable(places.groupBy("s").agg(F.log(1 + F.lit(n_items) / F.count("item")).alias("w")))
-    places = places.join(if_small(weights), "s")
+    parts = unique.select("item", "m", F.explode(F.array_distinct("s")).alias("s"))
+    weighted = parts.join(parts.groupBy("s").agg(F.log(1 + F.lit(n_items) / F.count("item")).alias("w")), "s")
     # the weight that a window must share, with room for the rounding of similarities
-    least = durable(places.groupBy("item").agg((F.sum("w") * (threshold - 1e-6) - 1e-9).alias("least")))
-    places = durable(places.join(if_small(least), "item").groupBy("s").agg(F.collect_list(F.struct("item", "m", "least", "w", "qs")).alias("at")))
+    least = weighted.groupBy("item").agg((F.sum("w") * (threshold - 1e-6) - 1e-9).alias("least"))
+    postings = durable(weighted.join(least, "item"))
+    small = bytes_of(postings) <= BROADCAST_BYTES // 4
+    side = F.broadcast if small else (lambda rows: rows)  # the items' tables are all of about this size
+    weights = postings.select("s", "w").distinct()
+    item_prints = _fingerprints(postings.select("item", "m", "s", "w"), ["item", "m"])
+    spots = _windows(docs, side(weights.select("s")), side(postings))
+    lists = durable(spots.groupBy("doc_id", "h", F.floor(F.col("a") / STRETCH).alias("stretch")).agg(F.collect_list(F.struct("a", "m")).alias("windows")))  # STRETCH times the sizes of items
+    again = docs.join(if_small(lists), ["doc_id", "h"]).select("doc_id", "windows", shingle_hashes(word_hashes(F.col("text"))).alias("all"))
+    span = lambda x: F.struct(F.greatest(x["a"], F.lit(0)).alias("lo"), F.least(x["a"] + x["m"], F.size("all")).alias("hi"), x["m"].alias("m"))
+    cut = again.select("doc_id", F.explode(F.transform("windows", span)).alias("x"), "all")
+    cut = cut.select("doc_id", "x.lo", (F.col("x.hi") - F.col("x.lo")).alias("n"), "x.m", F.array_sort(F.array_distinct(F.slice("all", F.col("x.lo") + 1, F.col("x.hi") - F.col("x.lo")))).alias("s"))
+    content = ["k1", "k2", "m"]
+    cut = durable(cut.withColumns({"k1": F.xxhash64("s"), "k2": F.xxhash64(F.lit(2), "s")}).distinct())
     unseen = F.log(F.lit(1 + n_items))
-    # windows: every start from which a window reaches the shingle; aligned is the start less the offset in the item
-    seen = docs.select("doc_id", F.posexplode(shingle_hashes(word_hashes(F.col("text")))).alias("p", "s")).join(if_small(places), "s")
-    spots = seen.select("doc_id", "p", F.explode("at").alias("x"))
-    starts = F.transform(F.sequence(F.greatest(F.col("p") - F.col("x.m") + 1, F.lit(0)), F.col("p")), lambda a: F.struct(a.alias("a"), F.exists("x.qs", lambda q: F.greatest(F.col("p") - q, F.lit(0)) == a).alias("aligned")))
-    spots = spots.select("doc_id", "x.item", "x.m", "x.least", "x.w", F.inline(starts))
-    held = spots.groupBy("doc_id", "item", "m", "least", "a").agg(F.sum("w").alias("held"), F.max("aligned").alias("aligned")).where("held >= least")
-    windows = durable(held.groupBy("doc_id").agg(F.collect_set(F.struct("a", "m", "aligned")).alias("windows")))
-    again = docs.join(if_small(windows), "doc_id").select("doc_id", "windows", shingle_hashes(word_hashes(F.col("text"))).alias("all"))
-    # only an aligned window may run over the end of its text
-    whole = F.filter("windows", lambda x: x["aligned"] | (x["a"] <= F.greatest(F.size("all") - x["m"], F.lit(0))))
-    cut = again.select("doc_id", F.explode(F.transform(whole, lambda x: F.struct(x["a"].alias("a"), x["m"].alias("m"), F.array_distinct(F.slice("all", x["a"] + 1, x["m"])).alias("s")))).alias("x"))
-    cut = durable(cut.select("doc_id", "x.a", "x.m", "x.s").where("size(s) > 0").dropDuplicates(["doc_id", "a", "m", "s"]).withColumn("id", F.xxhash64("doc_id", "a", "m", "s")))
-    weigh = lambda rows: rows.join(if_small(weights), "s", "left").withColumn("w", F.coalesce("w", unseen))
-    window_prints = _fingerprints(weigh(cut.select("id", F.explode("s").alias("s"))), ["id"])
-    item_prints = _fingerprints(weigh(unique.select("item", F.explode(F.array_distinct("s")).alias("s"))), ["item"])
-    window_index = cut.join(window_prints, "id").select("id", "m", "print", F.inline(_blocks(F.col("print"))))
-    item_index = item_prints.join(unique.select("item", "m"), "item").select("item", "m", F.col("print").alias("item_print"), F.inline(_blocks(F.col("print"))))
-    near = window_index.join(item_index, ["m", "block", "value"]).where(F.bit_count(F.col("print").bitwiseXOR(F.col("item_print"))) <= RADIUS)
-    near = durable(near.select("id", "item").distinct())
-    # exact verification
-    item_weights = weigh(unique.select("item", F.explode(F.array_distinct("s")).alias("s"))).groupBy("item").agg(F.map_from_entries(F.collect_list(F.struct("s", "w"))).alias("item_w"), F.sum("w").alias("item_total"))
-    pairs = near.join(cut, "id").join(window_prints.select("id", "total"), "id").join(item_weights, "item")
-    both = F.aggregate(F.array_intersect("s", F.map_keys("item_w")), F.lit(0.0), lambda acc, s: acc + F.element_at("item_w", s))
-    scored = pairs.select("doc_id", "item", "a", "m", both.alias("both"), "total", "item_total").withColumn("similarity", F.round(F.col("both") / (F.col("total") + F.col("item_total") - F.col("both")), 6))
-    best = scored.where(F.col("similarity") >= threshold).groupBy("doc_id", "item").agg(F.min(F.struct((-F.col("similarity")).alias("less"), "a", "m")).alias("x"))
-    named = best.join(unique.select("item", "item_ids"), "item").select("doc_id", F.explode("item_ids").alias("item_id"), (-F.col("x.less")).alias("similarity"), F.col("x.a").cast("bigint").alias("start_word"), (F.col("x.m") + SHINGLE - 1).cast("bigint").alias("n_words"))
-    return named
+    shingles = cut.groupBy(*content).agg(F.first("s").alias("s")).select(*content, F.explode("s").alias("s"))
+    prints = _fingerprints(shingles.join(side(weights), "s", "left").withColumn("w", F.coalesce("w", unseen)), content)
+    index = durable(item_prints.select("item", "m", F.col("print").alias("item_print"), F.inline(listed(F.col("print")))))
+    near = prints.select(*content, "print", F.inline(looked_up(F.col("print")))).join(if_small(index), ["m", "block", "value"])
+    near = durable(near.where(F.bit_count(F.col("print").bitwiseXOR(F.col("item_print"))) <= RADIUS).select(*content, "item").distinct())
+    # exact verification, once a content and item
+    own = item_prints.select("item", F.col("xs.s").alias("item_s"), F.col("total").alias("item_total"))
+    pairs = near.join(prints.select(*content, "xs", "total"), content).join(side(own), "item")
+    both = F.aggregate(F.filter("xs", lambda e: F.array_contains("item_s", e["s"])), F.lit(0.0), lambda acc, e: acc + e["w"])
+    scored = pairs.select(*content, "item", both.alias("both"), "total", "item_total").withColumn("similarity", F.round(F.col("both") / (F.col("total") + F.col("item_total") - F.col("both")), 6))
+    scored = durable(scored.where(F.col("similarity") >= threshold).select(*content, "item", "similarity"))
+    found = cut.select(*content, "doc_id", "lo", "n").join(if_small(scored), content)
+    best = found.groupBy("doc_id", "item").agg(F.min(F.struct((-F.col("similarity")).alias("less"), "lo", "n")).alias("x"))
+    return best.join(side(unique.select("item", "item_ids")), "item").select("doc_id", F.explode("item_ids").alias("item_id"), (-F.col("x.less")).alias("similarity"), F.col("x.lo").cast("bigint").alias("start_word"), (F.col("x.n") + SHINGLE - 1).cast("bigint").alias("n_words"))
 
 
 def op4_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -120,24 +164,24 @@ def op4_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def oracle(docs: str = "documents", threshold: float = THRESHOLD) -> str:
-    """The same without fingerprints: every aligned window is compared."""
+    """The same without fingerprints: every item-sized window that has a shingle of the item is compared."""
     words = lambda t: f"list_filter(regexp_split_to_array(lower(coalesce({t}, '')), '[^0-9a-z\\x{{80}}-\\x{{10FFFF}}]+'), lambda w: w <> '')"
     shingles = f"CASE WHEN len(w) >= {SHINGLE} THEN list_transform(range(1, len(w) - {SHINGLE} + 2), lambda i: array_to_string(w[i:i + {SHINGLE - 1}], ' ')) ELSE [] END"
     return f"""
     WITH it AS (SELECT item_id, s, len(s) AS m FROM (SELECT item_id, {shingles} AS s FROM (SELECT item_id, {words("text")} AS w FROM benchmark WHERE item_id IS NOT NULL)) WHERE len(s) > 0),
-    dd AS (SELECT doc_id, {shingles} AS s FROM (SELECT doc_id, {words("text")} AS w FROM {docs} WHERE doc_id IS NOT NULL)),
+    dd AS (SELECT DISTINCT doc_id, s FROM (SELECT doc_id, {shingles} AS s FROM (SELECT doc_id, {words("text")} AS w FROM {docs} WHERE doc_id IS NOT NULL))),
     u AS (SELECT s, m, min(item_id) AS item FROM it GROUP BY s, m),
     c AS (SELECT count(*)::DOUBLE AS n FROM u),
-    ip AS (SELECT item, m, unnest(s) AS x, unnest(range(len(s))) AS q FROM u),
-    wt AS (SELECT x, ln(1 + (SELECT n FROM c) / count(DISTINCT item)) AS w FROM ip GROUP BY x),
-    iw AS (SELECT item, x, w FROM (SELECT DISTINCT item, x FROM ip) JOIN wt USING (x)),
+    ip AS (SELECT DISTINCT item, m, unnest(s) AS x FROM u),
+    wt AS (SELECT x, ln(1 + (SELECT n FROM c) / count(*)) AS w FROM ip GROUP BY x),
+    iw AS (SELECT item, m, x, w FROM ip JOIN wt USING (x)),
     itot AS (SELECT item, sum(w) AS item_total FROM iw GROUP BY item),
     dp AS (SELECT row_number() OVER () AS r, doc_id, s FROM dd WHERE len(s) > 0),
-    hits AS (SELECT DISTINCT r, item, m, greatest(p - q, 0) AS a FROM (SELECT r, unnest(s) AS x, unnest(range(len(s))) AS p FROM dp) JOIN ip USING (x)),
-    win AS (SELECT r, doc_id, item, m, a, list_distinct(s[a + 1:a + m]) AS ws FROM hits JOIN dp USING (r)),
-    ex AS (SELECT r, doc_id, item, m, a, unnest(ws) AS x FROM win),
-    sc AS (SELECT r, doc_id, ex.item, m, a, sum(coalesce(wt.w, ln(1 + (SELECT n FROM c)))) AS total, coalesce(sum(iw.w), 0) AS both_
+    hits AS (SELECT DISTINCT r, item, m, unnest(range(p - m + 1, p + 1)) AS a FROM (SELECT r, unnest(s) AS x, unnest(range(len(s))) AS p FROM dp) JOIN ip USING (x)),
+    win AS (SELECT DISTINCT r, doc_id, item, greatest(a, 0) AS lo, least(a + m, len(s)) - greatest(a, 0) AS n, list_distinct(s[greatest(a, 0) + 1:least(a + m, len(s))]) AS ws FROM hits JOIN dp USING (r)),
+    ex AS (SELECT r, doc_id, item, lo, n, unnest(ws) AS x FROM win),
+    sc AS (SELECT r, doc_id, ex.item, lo, ex.n, sum(coalesce(wt.w, ln(1 + (SELECT n FROM c)))) AS total, coalesce(sum(iw.w), 0) AS both_
       FROM ex LEFT JOIN wt ON wt.x = ex.x LEFT JOIN iw ON iw.item = ex.item AND iw.x = ex.x GROUP BY ALL),
-    f AS (SELECT doc_id, item, m, a, round(both_ / (total + item_total - both_), 6) AS similarity FROM sc JOIN itot USING (item)),
-    best AS (SELECT doc_id, item, m, similarity, a, row_number() OVER (PARTITION BY doc_id, item ORDER BY similarity DESC, a) AS k FROM f WHERE similarity >= {threshold})
-    SELECT doc_id, item_id, similarity, a::BIGINT AS start_word, (best.m + {SHINGLE - 1})::BIGINT AS n_words FROM best JOIN u USING (item) JOIN it ON it.s = u.s WHERE k = 1"""
+    f AS (SELECT doc_id, item, lo, n, round(both_ / (total + item_total - both_), 6) AS similarity FROM sc JOIN itot USING (item)),
+    best AS (SELECT doc_id, item, similarity, lo, n, row_number() OVER (PARTITION BY doc_id, item ORDER BY similarity DESC, lo, n) AS k FROM f WHERE similarity >= {threshold})
+    SELECT doc_id, item_id, similarity, lo::BIGINT AS start_word, (n + {SHINGLE - 1})::BIGINT AS n_words FROM best JOIN u USING (item) JOIN it ON it.s = u.s WHERE k = 1"""
