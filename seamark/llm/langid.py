@@ -80,30 +80,7 @@ def train(texts: list[str], langs: list[str]) -> Net | None:
     for epoch in range(EPOCHS):
         order = rng.permutation(len(y))
         for k in range(0, len(order), BATCH):
-            b, t = windows[order[k : k + BATCH]], y[order[k : k + BATCH]]
-            pooled, where = [], []
-            for f in net.filters:
-                z = f[0][b[:, :WINDOW]]
-                for j in range(1, len(f)):
-                    z += f[j][b[:, j : WINDOW + j]]
-                where.append(z.argmax(axis=1))
-                pooled.append(np.take_along_axis(z, where[-1][:, None, :], 1)[:, 0])
-            h = np.concatenate(pooled, 1)
-            act = np.maximum(h, 0)
-            z = act @ net.dense + net.bias
-            p = np.exp(z - z.max(axis=1, keepdims=True))
-            p /= p.sum(axis=1, keepdims=True)
-            p[np.arange(len(t)), t] -= 1
-            p /= len(t)
-            back = (p @ net.dense.T) * (h > 0)
-            grads = []
-            for i, f in enumerate(net.filters):
-                g, own, at = np.zeros_like(f), back[:, i * FILTERS : (i + 1) * FILTERS], where[i]
-                rows = np.arange(len(t))[:, None]
-                for j in range(len(f)):
-                    np.add.at(g[j], (b[rows, at + j], np.arange(FILTERS)[None]), own)
-                grads.append(g)
-            grads += [act.T @ p, p.sum(axis=0)]
+            _, grads = loss_and_gradients(net, windows[order[k : k + BATCH]], y[order[k : k + BATCH]])
             step += 1
             for x, g, m, s in zip(params, grads, moment, square, strict=True):
                 m += 0.1 * (g - m)
@@ -112,11 +89,39 @@ def train(texts: list[str], langs: list[str]) -> Net | None:
     return net
 
 
+def loss_and_gradients(net: Net, b: np.ndarray, t: np.ndarray) -> tuple[float, list[np.ndarray]]:
+    """Mean cross entropy of windows ``b`` with classes ``t``, and its gradients by filters, dense and bias."""
+    pooled, where = [], []
+    for f in net.filters:
+        z = f[0][b[:, :WINDOW]]
+        for j in range(1, len(f)):
+            z += f[j][b[:, j : WINDOW + j]]
+        where.append(z.argmax(axis=1))
+        pooled.append(np.take_along_axis(z, where[-1][:, None, :], 1)[:, 0])
+    h = np.concatenate(pooled, 1)
+    act = np.maximum(h, 0)
+    z = act @ net.dense + net.bias
+    p = np.exp(z - z.max(axis=1, keepdims=True))
+    p /= p.sum(axis=1, keepdims=True)
+    loss = -float(np.log(np.maximum(p[np.arange(len(t)), t], 1e-30)).mean())
+    p[np.arange(len(t)), t] -= 1
+    p /= len(t)
+    back = (p @ net.dense.T) * (h > 0)
+    grads = []
+    rows, n = np.arange(len(t))[:, None], net.filters[0].shape[2]
+    for i, f in enumerate(net.filters):
+        g, own, at = np.zeros_like(f), back[:, i * n : (i + 1) * n], where[i]
+        for j in range(len(f)):
+            np.add.at(g[j], (b[rows, at + j], np.arange(n)[None]), own)
+        grads.append(g)
+    return loss, [*grads, act.T @ p, p.sum(axis=0)]
+
+
 def fit(docs: DataFrame, train_windows: int = TRAIN_WINDOWS) -> Net | None:
-    """Learn from ``docs`` (doc_id, text, lang); rows without text or lang don't count.
+    """Learn from ``docs`` (doc_id, text, lang); rows without text, lang or doc_id don't count, equal rows count once.
 
     Every language that occurs is learned. The sample is bounded: of each about ``train_windows``
-    windows, WINDOWS_A_TEXT a text, of the texts with the smallest hashes of their ids, at places
+    windows, WINDOWS_A_TEXT a text, of the texts with the smallest hashes, at places
     that the hash chooses.
     """
     docs = docs.where("lang is not null and text is not null and doc_id is not null")
@@ -125,9 +130,10 @@ def fit(docs: DataFrame, train_windows: int = TRAIN_WINDOWS) -> Net | None:
     n_langs = shares.count()
     if not n_langs:
         return None
-    draw = F.pmod(F.xxhash64("doc_id", F.lit(3)), F.lit(1_000_000)) / 1_000_000
+    draw = F.pmod(F.xxhash64("doc_id", "text", F.lit(3)), F.lit(1 << 40)) / (1 << 40)
     spots = [F.substring("text", F.pmod(F.xxhash64("doc_id", F.lit(k)), F.greatest(F.length("text") - WINDOW, F.lit(1))) + 1, F.lit(WINDOW)) for k in range(WINDOWS_A_TEXT)]
-    rows = docs.join(if_small(shares), "lang").where(draw < F.col("share")).select("lang", F.array(*spots).alias("windows")).limit(4 * texts * n_langs).collect()
+    chosen = docs.withColumn("draw", draw).join(if_small(shares), "lang").where(F.col("draw") < F.col("share")).select("lang", "draw", F.array(*spots).alias("windows")).distinct()
+    rows = chosen.orderBy("draw", "lang").limit(4 * texts * n_langs).collect()  # about a quarter of that comes
     rows.sort(key=lambda r: (r.lang, r.windows))
     pairs = [(w, r.lang) for r in rows for w in r.windows]
     return train([w for w, _ in pairs], [x for _, x in pairs])
@@ -137,7 +143,8 @@ def predict(docs: DataFrame, net: Net | None) -> DataFrame:
     """Classify every whole text of ``docs`` (doc_id, text); returns the columns of ``SCHEMA``.
 
     A text that is null or has no letter is ``und`` with score 0, as is every text without a net.
-    Repeated rows are each classified; other columns are ignored.
+    Repeated rows are each classified; of equally likely languages the first by name wins; a very long text is classified
+    by all its windows, some at a time; an empty table gives no rows; other columns are ignored.
     """
     shared = docs.sparkSession.sparkContext.broadcast(net)  # its size is fixed by constants
 

@@ -3,7 +3,7 @@
 Greedy word-piece lengths come from a trie of the vocabulary with failure links: when no transition
 fits, the link leads to the state of what remains after the longest pieces are popped, and their
 number is precomputed, so no byte is read twice and no piece is built. All distinct words of a
-batch step through the automaton together.
+batch step through the automaton together; words of over LONG bytes, of which there are few, go one by one.
 
 A word is a run of bytes other than white space with one directly preceding space, if any; each
 other run of white space is a word of its own.
@@ -26,12 +26,13 @@ from .common import table
 VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 SCHEMA = "doc_id bigint, n_tokens bigint, n_words bigint, n_unknown bigint"
 SLICE_BYTES = 4 << 20
+LONG = 256
 _SPACE = np.zeros(256, bool)
 _SPACE[[9, 10, 11, 12, 13, 32]] = True
 
 
 def read_ranks(path: str = VOCABULARY) -> list[bytes]:
-    """The pieces of a file of base64 pieces and ranks."""
+    """The pieces of a file, on the driver, of base64 pieces and ranks; a FileNotFoundError if there is none."""
     with open(path, "rb") as f:
         return [base64.b64decode(line.split()[0]) for line in f if line.strip()]
 
@@ -91,8 +92,35 @@ class Automaton:
         at = np.minimum(np.searchsorted(self.keys, key), len(self.keys) - 1)
         return np.where(self.keys[at] == key, self.to[at], np.int32(-1))
 
+    def count_one(self, word: bytes) -> tuple[int, bool]:
+        """Pieces of one word, byte by byte."""
+        if self.__dict__.get("_step") is None:
+            self._step = dict(zip(self.keys.tolist(), self.to.tolist(), strict=True)), self.link.tolist(), self.popped.tolist()
+        step, link, popped = self._step
+        n, state = 0, 0
+        for byte in word:
+            while (to := step.get(state * 256 + byte)) is None:
+                if link[state] < 0:
+                    return 1, True
+                n += popped[state]
+                state = link[state]
+            state = to
+        while state > 1:
+            if link[state] < 0:
+                return 1, True
+            n += popped[state]
+            state = link[state]
+        return n, False
+
     def count(self, raw: np.ndarray, start: np.ndarray, stop: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Pieces of each word raw[start:stop]; a word that can't be cut counts 1 and is unknown."""
+        long = stop - start > LONG
+        if long.any():
+            n, unknown = np.zeros(len(start), np.int64), np.zeros(len(start), bool)
+            n[~long], unknown[~long] = self.count(raw, start[~long], stop[~long])
+            for k in np.flatnonzero(long).tolist():
+                n[k], unknown[k] = self.count_one(raw[start[k] : stop[k]].tobytes())
+            return n, unknown
         n = np.zeros(len(start), np.int64)
         unknown = np.zeros(len(start), bool)
         state = np.zeros(len(start), np.int32)
@@ -168,7 +196,8 @@ def word_counts(column: pa.Array, automaton: Automaton) -> tuple[np.ndarray, np.
 def count_tokens(docs: DataFrame, automaton: Automaton) -> DataFrame:
     """Tokens of every whole text of ``docs`` (doc_id, text); returns the columns of ``SCHEMA``.
 
-    Null and empty texts have none. Repeated rows are each counted; other columns are ignored.
+    Null and empty texts have none. Repeated rows are each counted; a very long text or word takes time and memory in
+    proportion to its length; an empty table gives no rows; other columns are ignored.
     """
     shared = docs.sparkSession.sparkContext.broadcast(automaton)  # as large as the vocabulary
 
@@ -181,5 +210,5 @@ def count_tokens(docs: DataFrame, automaton: Automaton) -> DataFrame:
     return docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text").mapInArrow(run, SCHEMA)
 
 
-def op9_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return count_tokens(table(spark, sf_dir, "documents"), Automaton.build(read_ranks()))
+def op9_token_counts(spark: SparkSession, sf_dir: str, vocabulary: str = VOCABULARY) -> DataFrame:
+    return count_tokens(table(spark, sf_dir, "documents"), Automaton.build(read_ranks(vocabulary)))

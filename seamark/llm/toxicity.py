@@ -21,10 +21,8 @@ from pyspark.sql import functions as F
 from . import kernels
 from .common import durable, held_out, table
 
-#: At most so many labelled documents are learned from (those with the smallest hash of the id).
+#: At most so many labelled documents are learned from (those with the smallest hash of the id), one text each.
 TRAIN_DOCS = 20_000
-#: At most so many words score, those with the largest z.
-MAX_WORDS = 50_000
 #: Least z and least log-odds (either sign) of a scoring word; what each word costs a segment at least.
 MIN_Z, MIN_ODDS, DRIFT = 3.0, 1.0, 0.1
 PRIOR, SIGNIFICANT = 0.1, 0.05
@@ -119,10 +117,11 @@ def _scores(words: kernels.Lookup, weights: np.ndarray, drift: float):
     return run
 
 
-def fit(labelled: DataFrame, train_docs: int = TRAIN_DOCS) -> Model:
-    """Learn from ``labelled`` (doc_id, text, toxic 0 or 1); at most ``train_docs`` rows count.
+def fit(labelled: DataFrame) -> Model:
+    """Learn from ``labelled`` (doc_id, text, toxic 0 or 1), a bounded sample as ``training_rows`` draws it.
 
-    Seven of ten go to the words, the rest to the calibration. With one class only, nothing scores.
+    Seven of ten go to the words, the rest to the calibration. With one class only, nothing scores. The words that score
+    come to the driver: those of the sample that stand out, in at least some ten of its documents each.
     """
     chosen = labelled.select("doc_id", F.coalesce("text", F.lit("")).alias("text"), F.col("toxic").cast("int").alias("toxic")).withColumn("part", F.pmod(F.xxhash64("doc_id", F.lit(5)), F.lit(10)))
     for_words = chosen.where("part < 7").select("text", "toxic")
@@ -137,7 +136,7 @@ def fit(labelled: DataFrame, train_docs: int = TRAIN_DOCS) -> Model:
     odds = lambda y, n: F.log((y + prior) / (n * (1 + PRIOR) - y - prior))
     delta = odds(F.col("toxic"), n_toxic) - odds(F.col("clean"), n_clean)
     z = delta / F.sqrt(1 / (F.col("toxic") + prior) + 1 / (F.col("clean") + prior))
-    rows = counts.select("word", "clean", delta.alias("delta"), z.alias("z")).where((F.abs("z") >= MIN_Z) & (F.abs("delta") >= MIN_ODDS)).orderBy(F.abs("z").desc(), "word").limit(MAX_WORDS).collect()
+    rows = counts.select("word", "clean", delta.alias("delta"), z.alias("z")).where((F.abs("z") >= MIN_Z) & (F.abs("delta") >= MIN_ODDS)).collect()
     if not any(r.delta > DRIFT for r in rows):
         return none
     rows.sort(key=lambda r: r.word & (2**64 - 1))
@@ -150,7 +149,7 @@ def fit(labelled: DataFrame, train_docs: int = TRAIN_DOCS) -> Model:
         mid = (low + high) / 2
         low, high = (low, mid) if rest * math.exp(-mid * drift) + (share * np.exp(np.minimum(mid * steps, 600))).sum() > 1 else (mid, high)
     rate = low
-    rows = chosen.where("part >= 7").select("text", "toxic").mapInArrow(_scores(words, weights, drift), "toxic int, n bigint, best double").collect()  # at most train_docs rows of three numbers
+    rows = chosen.where("part >= 7").select("text", "toxic").mapInArrow(_scores(words, weights, drift), "toxic int, n bigint, best double").collect()  # a part of the sample, three numbers a document
     clean = [r for r in rows if not r.toxic]
     size = len(clean) / max(1e-9, sum(max(r.n, 1) * math.exp(-rate * r.best) for r in clean)) if clean else 1.0
     model = Model(words, weights, rate, size, drift, 0.0, 0.0)
@@ -174,9 +173,10 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
 
     ``segments`` are the segments with an expected number of chance finds of at most
     ``SIGNIFICANT``, by words (start, stop). Null and empty texts score as texts without any finding.
-    Repeated rows are each scored; other columns are ignored.
+    Repeated rows are each scored; of equally good segments the first counts; a very long text is scanned alone, in time
+    in proportion to its length; an empty table gives no rows; other columns are ignored.
     """
-    shared = docs.sparkSession.sparkContext.broadcast(model)  # MAX_WORDS bounds it
+    shared = docs.sparkSession.sparkContext.broadcast(model)  # the sample bounds it
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = shared.value
@@ -196,11 +196,12 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
 def training_rows(docs: DataFrame, labels: DataFrame, train_docs: int = TRAIN_DOCS) -> DataFrame:
     """Labelled documents outside the held-out fifth, at most ``train_docs``, written once.
 
-    Of several labels of an id the largest counts; of several documents of an id, all.
+    Of several labels of an id the largest counts; of several documents of an id the one whose text has the least hash.
     """
     known = labels.where("toxic is not null and doc_id is not null").where(~held_out("doc_id", 5, 0)).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     known = known.orderBy(F.xxhash64("doc_id"), "doc_id").limit(train_docs)
-    return durable(docs.select("doc_id", "text").join(F.broadcast(known), "doc_id"))  # train_docs bounds it
+    rows = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).join(F.broadcast(known), "doc_id")  # train_docs bounds it
+    return durable(rows.groupBy("doc_id").agg(F.min_by("text", F.struct(F.xxhash64("text"), "text")).alias("text"), F.first("toxic").alias("toxic")))
 
 
 def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:

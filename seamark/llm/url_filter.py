@@ -3,7 +3,8 @@
 Labelled page outcomes are counted per host and shrunk through beta-binomial priors along
 suffix -> registered domain -> host: each level's posterior mean is the prior mean of the level
 below, and each level's prior strength is estimated by moments from how much the rates of its
-groups scatter. A host is blocked when the lower bound of its posterior bad rate exceeds a limit.
+groups scatter. A host is blocked when the lower bound of its posterior bad rate exceeds a limit: the bound is taken
+on the logit scale, where the beta posterior is close to normal, so it lies between 0 and 1.
 Explicit rules go before the reputation.
 """
 
@@ -12,12 +13,15 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import table
+from .common import durable, if_small, table, tidy
 
 RULES = (("com/", "allow"), ("example.com/en/", "block"), ("www.example.com/en/", "allow"), ("net/es/", "block"), ("net/fr/", "block"))
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
-#: Suffixes of two labels under which names are registered; any other suffix is the last label.
-DOUBLE_SUFFIXES = ("co.uk", "org.uk", "ac.uk", "com.au", "co.jp", "co.nz", "com.br", "co.in", "co.za", "com.mx")
+#: Labels under which names are registered below any top-level domain of two letters, as in co.uk.
+GENERIC = ("ac", "co", "com", "edu", "gob", "gouv", "gov", "govt", "go", "id", "info", "mil", "net", "ne", "nom", "or", "org", "sch")
+#: Some suffixes under which hosts belong to different owners. A full list of public suffixes goes into the parameter.
+SUFFIXES = ("appspot.com", "blogspot.com", "github.io", "gitlab.io", "herokuapp.com", "netlify.app", "pages.dev", "readthedocs.io", "vercel.app", "web.app", "wordpress.com")
+MAX_SUFFIX = 5  # labels
 MAX_RULES = 1000
 Z, MAX_BAD = 1.645, 0.3
 
@@ -44,10 +48,37 @@ def first_fit(host: Column, path: Column, rules: tuple[tuple[str, str], ...]) ->
     return rule, verdict
 
 
-def suffix_and_domain(host: Column) -> tuple[Column, Column]:
-    two = F.substring_index(host, ".", -2)
-    double = two.isin(*DOUBLE_SUFFIXES)
-    return F.when(double, two).otherwise(F.substring_index(host, ".", -1)), F.when(double, F.substring_index(host, ".", -3)).otherwise(two)
+def _last(host: Column, labels: int) -> Column:
+    return F.substring_index(host, ".", -labels)
+
+
+def read_suffixes(path: str) -> tuple[str, ...]:
+    """The rules of a file of public suffixes: one a line, with ``*.`` and ``!``; lines that begin with // don't count."""
+    with open(path, encoding="utf-8") as f:
+        return tuple(x.split()[0] for x in f if x.strip() and not x.startswith("//"))
+
+
+def with_domains(hosts: DataFrame, suffixes: tuple[str, ...] = SUFFIXES) -> DataFrame:
+    """``hosts`` (host, one row each, and others) with suffix and domain, the registered domain.
+
+    The longest of the rules that fit is the suffix: a name, ``*.`` and a name for one more label of any kind, or
+    ``!`` and a name that is registered itself; then GENERIC labels under two letters, then the last label alone.
+    """
+    host = F.col("host")
+    labels = F.size(F.split(host, r"\."))
+    rules = durable(hosts.sparkSession.createDataFrame([(x.lower(),) for x in sorted(set(suffixes))], "rule string"))
+    tries = []
+    for k in range(1, MAX_SUFFIX + 1):
+        tries.append(F.when(labels >= k, F.struct(_last(host, k).alias("rule"), F.lit(k).alias("n"))))
+        tries.append(F.when(labels >= k + 1, F.struct(F.concat(F.lit("*."), _last(host, k)).alias("rule"), F.lit(k + 1).alias("n"))))
+        tries.append(F.when(labels >= k, F.struct(F.concat(F.lit("!"), _last(host, k)).alias("rule"), F.lit(100 + k - 1).alias("n"))))  # goes before all
+    tried = hosts.select("host", F.inline(F.filter(F.array(*tries), lambda x: x.isNotNull())))
+    fits = tried.join(if_small(rules), "rule").groupBy("host").agg(F.max("n").alias("_n"))
+    generic = (F.length(_last(host, 1)) == 2) & F.substring_index(_last(host, 2), ".", 1).isin(*GENERIC) & (labels >= 2)
+    n = F.greatest(F.coalesce("_n", F.lit(1)), F.when(generic, 2).otherwise(1))
+    rows = hosts.join(fits, "host", "left").withColumn("_n", F.when(n >= 100, n - 100).otherwise(n))
+    cut = lambda k: F.array_join(F.slice(F.split(host, r"\."), F.greatest(labels - k, F.lit(0)) + 1, F.greatest(k, F.lit(1))), ".")
+    return rows.withColumns({"suffix": cut(F.col("_n")), "domain": cut(F.col("_n") + 1)}).drop("_n")
 
 
 def _strength(groups: DataFrame, name: str) -> DataFrame:
@@ -60,44 +91,46 @@ def _strength(groups: DataFrame, name: str) -> DataFrame:
     return seen.select(F.coalesce(F.when(usable, F.when(over > 0, F.least(F.lit(1000.0), F.greatest(F.lit(1.0), 1 / over - 1))).otherwise(F.lit(1000.0))), F.lit(10.0)).alias(name))
 
 
-def host_reputation(hosts: DataFrame, z: float = Z) -> DataFrame:
+def host_reputation(hosts: DataFrame, z: float = Z, suffixes: tuple[str, ...] = SUFFIXES) -> DataFrame:
     """``hosts`` has host, n and bad (labelled outcomes, 0 for none), one row a host.
 
-    Returns host, n, bad, bad_rate (posterior mean) and bad_bound (its lower bound, ``z`` posterior
-    standard deviations below). Without any labelled outcome the rate is that of 1 in 2.
+    Returns host, n, bad, bad_rate (posterior mean) and bad_bound (``z`` posterior standard deviations below it on the
+    logit scale). Without any labelled outcome the rate is that of 1 in 2. Hosts are counted once: the tables by domain
+    and by suffix are written.
     """
-    suffix, domain = suffix_and_domain(F.col("host"))
-    hosts = hosts.withColumns({"suffix": suffix, "domain": domain})
-    domains = hosts.groupBy("suffix", "domain").agg(F.sum("n").alias("n"), F.sum("bad").alias("bad"))
-    suffixes = domains.groupBy("suffix").agg(F.sum("n").alias("n"), F.sum("bad").alias("bad"))
-    overall = suffixes.agg(F.coalesce((F.sum("bad") + 0.5) / (F.sum("n") + 1), F.lit(0.5)).alias("m0"))
-    scale = overall
+    hosts = durable(with_domains(hosts, suffixes))
+    domains = durable(hosts.groupBy("suffix", "domain").agg(F.sum("n").alias("n"), F.sum("bad").alias("bad")))
+    suffixes = durable(domains.groupBy("suffix").agg(F.sum("n").alias("n"), F.sum("bad").alias("bad")))
+    scale = suffixes.agg(F.coalesce((F.sum("bad") + 0.5) / (F.sum("n") + 1), F.lit(0.5)).alias("m0"))
     for name, groups in (("s0", suffixes), ("s1", domains), ("s2", hosts)):
         scale = scale.crossJoin(_strength(groups, name))  # one row each
-    suffixes = suffixes.crossJoin(scale).select("suffix", "s1", "s2", ((F.col("bad") + F.col("s0") * F.col("m0")) / (F.col("n") + F.col("s0"))).alias("p"))
-    domains = domains.join(suffixes, "suffix").select("suffix", "domain", "s2", ((F.col("bad") + F.col("s1") * F.col("p")) / (F.col("n") + F.col("s1"))).alias("p"))
+    scale = durable(scale)
+    suffixes = durable(suffixes.crossJoin(F.broadcast(scale)).select("suffix", "s1", "s2", ((F.col("bad") + F.col("s0") * F.col("m0")) / (F.col("n") + F.col("s0"))).alias("p")))
+    domains = durable(domains.join(if_small(suffixes), "suffix").select("suffix", "domain", "s2", ((F.col("bad") + F.col("s1") * F.col("p")) / (F.col("n") + F.col("s1"))).alias("p")))
     a, b = F.col("bad") + F.col("s2") * F.col("p"), F.col("n") - F.col("bad") + F.col("s2") * (1 - F.col("p"))
-    mean, spread = a / (a + b), F.sqrt(a * b / ((a + b) * (a + b) * (a + b + 1)))
-    return hosts.join(domains, ["suffix", "domain"]).select("host", "n", "bad", mean.alias("bad_rate"), (mean - z * spread).alias("bad_bound"))
+    bound = 1 / (1 + F.exp(z * F.sqrt(1 / a + 1 / b) - F.log(a / b)))
+    return hosts.join(if_small(domains), ["suffix", "domain"]).select("host", "n", "bad", (a / (a + b)).alias("bad_rate"), F.when((a > 0) & (b > 0), bound).when(a > 0, 1.0).otherwise(0.0).alias("bad_bound"))
 
 
-def filter_urls(pages: DataFrame, outcomes: DataFrame, rules: tuple[tuple[str, str], ...] = RULES, z: float = Z, max_bad: float = MAX_BAD) -> DataFrame:
+@tidy
+def filter_urls(pages: DataFrame, outcomes: DataFrame, rules: tuple[tuple[str, str], ...] = RULES, z: float = Z, max_bad: float = MAX_BAD, suffixes: tuple[str, ...] = SUFFIXES) -> DataFrame:
     """Judge every row of ``pages`` (page_id, url) by rules, then by host reputation.
 
     ``outcomes`` has host, n and bad: labelled outcomes counted by host, any number of rows a host.
     Null urls and urls without ``://`` have the empty host, which has a reputation as any other.
-    Repeated rows are each judged; other columns of ``pages`` are ignored. Returns page_id, host,
-    path, rule, verdict, bad_rate and bad_bound (rounded to 6 places). A hot host is counted before
-    any shuffle, and the join that brings its reputation back is one that Spark can split.
+    Repeated rows are each judged; of rules of equal length the first by its text wins; a very long url is a row like others;
+    an empty table gives no rows, and without outcomes every host has the same rate; other columns of ``pages`` are
+    ignored. Returns page_id, host, path, rule, verdict, bad_rate and bad_bound (rounded to 6 places). A hot host is counted
+    before any shuffle, and the join that brings its reputation back is one that Spark can split.
     """
     host, path = host_and_path(F.col("url"))
     pages = pages.select("page_id", host.alias("host"), path.alias("path"))
     counts = pages.groupBy("host").agg(F.lit(0).cast("bigint").alias("n"), F.lit(0).cast("bigint").alias("bad"))
-    counts = counts.unionByName(outcomes.select("host", "n", "bad")).groupBy("host").agg(F.sum("n").alias("n"), F.sum("bad").alias("bad"))
-    known = host_reputation(counts, z).select("host", F.round("bad_rate", 6).alias("bad_rate"), F.round("bad_bound", 6).alias("bad_bound"))
+    counts = durable(counts.unionByName(outcomes.select("host", "n", "bad")).groupBy("host").agg(F.sum("n").alias("n"), F.sum("bad").alias("bad")))
+    known = durable(host_reputation(counts, z, suffixes).select("host", F.round("bad_rate", 6).alias("bad_rate"), F.round("bad_bound", 6).alias("bad_bound")))
     rule, verdict = first_fit(F.col("host"), F.col("path"), rules)
     own = F.when(F.col("bad_bound") > max_bad, "block").otherwise("allow")
-    return pages.join(known, "host", "left").select("page_id", "host", "path", rule.alias("rule"), F.coalesce(verdict, own).alias("verdict"), "bad_rate", "bad_bound")
+    return pages.join(if_small(known), "host", "left").select("page_id", "host", "path", rule.alias("rule"), F.coalesce(verdict, own).alias("verdict"), "bad_rate", "bad_bound")
 
 
 def outcomes_of(pages: DataFrame, labels: DataFrame) -> DataFrame:
@@ -119,7 +152,8 @@ def oracle(rules: tuple[tuple[str, str], ...] = RULES, z: float = Z, max_bad: fl
     longest = sorted(rules, key=lambda r: -len(r[0]))
     rule = "CASE " + " ".join(f"WHEN {fits[r]} THEN '{r}'" for r, _ in longest) + " END"
     verdict = "CASE " + " ".join(f"WHEN {fits[r]} THEN '{v}'" for r, v in longest) + " END"
-    doubles = ", ".join(f"'{x}'" for x in DOUBLE_SUFFIXES)
+    quoted = lambda names: ", ".join(f"'{x}'" for x in names)
+    double = f"(two IN ({quoted(SUFFIXES)}) OR (len(parts) > 1 AND length(parts[1]) = 2 AND parts[2] IN ({quoted(GENERIC)})))"
 
     def strength(name: str, groups: str) -> str:
         return f"""{name} AS (SELECT coalesce(CASE WHEN t > k AND m * (1 - m) > 0 THEN CASE WHEN o > 0 THEN least(1000.0, greatest(1.0, 1 / o - 1)) ELSE 1000.0 END END, 10.0) AS v
@@ -135,8 +169,8 @@ def oracle(rules: tuple[tuple[str, str], ...] = RULES, z: float = Z, max_bad: fl
     labelled AS (SELECT host, count(*) AS n, sum(bad) AS bad FROM p JOIN bad ON doc_id = try_cast(nullif(regexp_extract(path, '^/[^/]*/([0-9]+)', 1), '') AS BIGINT) GROUP BY host),
     h0 AS (SELECT host, coalesce(any_value(l.n), 0)::BIGINT AS n, coalesce(any_value(l.bad), 0)::BIGINT AS bad, list_reverse(string_split(host, '.')) AS parts FROM p LEFT JOIN labelled l USING (host) GROUP BY host),
     h1 AS (SELECT *, CASE WHEN len(parts) > 1 THEN parts[2] || '.' || parts[1] ELSE host END AS two FROM h0),
-    h AS (SELECT host, n, bad, CASE WHEN two IN ({doubles}) THEN two ELSE parts[1] END AS suffix,
-      CASE WHEN two IN ({doubles}) AND len(parts) > 2 THEN parts[3] || '.' || two ELSE two END AS domain FROM h1),
+    h AS (SELECT host, n, bad, CASE WHEN {double} THEN two ELSE parts[1] END AS suffix,
+      CASE WHEN {double} AND len(parts) > 2 THEN parts[3] || '.' || two ELSE two END AS domain FROM h1),
     d AS (SELECT suffix, domain, sum(n) AS n, sum(bad) AS bad FROM h GROUP BY ALL),
     s AS (SELECT suffix, sum(n) AS n, sum(bad) AS bad FROM d GROUP BY ALL),
     m AS (SELECT coalesce((sum(bad) + 0.5::DOUBLE) / (sum(n) + 1), 0.5) AS v FROM s),
@@ -144,6 +178,6 @@ def oracle(rules: tuple[tuple[str, str], ...] = RULES, z: float = Z, max_bad: fl
     sp AS (SELECT suffix, (bad + s0.v * m.v) / (n + s0.v) AS p FROM s, s0, m),
     dp AS (SELECT suffix, domain, (bad + s1.v * p) / (n + s1.v) AS p FROM d JOIN sp USING (suffix), s1),
     ab AS (SELECT host, bad + s2.v * p AS a, n - bad + s2.v * (1 - p) AS b FROM h JOIN dp USING (suffix, domain), s2),
-    r AS (SELECT host, round(a / (a + b), 6) AS bad_rate, round(a / (a + b) - {z}::DOUBLE * sqrt(a * b / ((a + b) * (a + b) * (a + b + 1))), 6) AS bad_bound FROM ab)
+    r AS (SELECT host, round(a / (a + b), 6) AS bad_rate, round(CASE WHEN a > 0 AND b > 0 THEN 1 / (1 + exp({z}::DOUBLE * sqrt(1 / a + 1 / b) - ln(a / b))) WHEN a > 0 THEN 1 ELSE 0 END, 6) AS bad_bound FROM ab)
     SELECT page_id, host, path, {rule} AS rule, coalesce({verdict}, CASE WHEN bad_bound > {max_bad} THEN 'block' ELSE 'allow' END) AS verdict, bad_rate, bad_bound
     FROM p JOIN r USING (host)"""

@@ -8,6 +8,49 @@ def test_held_out_accuracy(spark):
     assert len(held) > 200 and sum(r.lang_pred == want[r.doc_id] for r in held) / len(held) > 0.97
 
 
+def small_net(rng, kind="float64"):
+    import numpy as np
+
+    return G.Net(["a", "b", "c"], [(rng.standard_normal((w, 256, 2)) * 0.5).astype(kind) for w in G.WIDTHS], rng.standard_normal((2 * len(G.WIDTHS), 3)).astype(kind), rng.standard_normal(3).astype(kind))
+
+
+def test_forward_pass_against_loops():
+    import math
+
+    import numpy as np
+    import pyarrow as pa
+
+    rng = np.random.Generator(np.random.PCG64(1))
+    net = small_net(rng)
+    windows, _, _ = G.windows_of(pa.array(["Some text é and more. " * 9, "x", "日本語"]))
+    for got, row in zip(net.log_probabilities(windows), windows.tolist(), strict=True):
+        features = []
+        for f in net.filters:
+            for k in range(f.shape[2]):
+                features.append(max(0.0, max(sum(f[j, row[p + j], k] for j in range(len(f))) for p in range(G.WINDOW))))
+        z = [sum(x * net.dense[i, c] for i, x in enumerate(features)) + net.bias[c] for c in range(3)]
+        total = math.log(sum(math.exp(v) for v in z))
+        assert np.allclose(got, [v - total for v in z])
+
+
+def test_gradients_against_differences():
+    import numpy as np
+
+    rng = np.random.Generator(np.random.PCG64(2))
+    net = small_net(rng)
+    b, t = rng.integers(97, 101, (5, G.WINDOW + max(G.WIDTHS) - 1)).astype(np.uint8), np.array([0, 1, 2, 1, 0])
+    loss, grads = G.loss_and_gradients(net, b, t)
+    assert abs(loss + net.log_probabilities(b)[np.arange(5), t].mean()) < 1e-9
+    for x, g in zip([*net.filters, net.dense, net.bias], grads, strict=True):
+        for at in zip(*(a[:6] for a in np.nonzero(g)), strict=True):
+            old, sides = x[at], []
+            for e in (1e-6, -1e-6):
+                x[at] = old + e
+                sides.append(G.loss_and_gradients(net, b, t)[0])
+            x[at] = old
+            assert abs((sides[0] - sides[1]) / 2e-6 - g[at]) < 1e-4
+
+
 def test_odd_rows(spark, odd, nothing):
     net = G.fit(odd)
     got = G.predict(odd, net).collect()

@@ -62,3 +62,20 @@ def test_odd_rows(spark, odd, nothing):
     assert len(got) == 12 and all((r.n_tokens == 0) == (r.n_words == 0) for r in got)
     assert {r.n_tokens for r in got if r.doc_id in (2, 3)} == {0}
     assert K.count_tokens(nothing, a).count() == 0 and K.count_tokens(odd, K.Automaton.build([])).where("n_unknown < n_words").count() == 0
+
+
+def test_long_words_go_byte_by_byte():
+    import time
+
+    import numpy as np
+
+    rng = np.random.Generator(np.random.PCG64(6))
+    pieces = [bytes(x) for x in {tuple(rng.integers(97, 100, rng.integers(1, 5)).tolist()) for _ in range(30)}]
+    a = K.Automaton.build([*pieces, b"a", b"b", b"c"])
+    words = [bytes(rng.integers(97, 100, n).tolist()) for n in (K.LONG - 1, K.LONG, K.LONG + 1, 1000, 3)] + [b"ab" * 200 + b"?" + b"c" * 5]
+    stop = np.cumsum([len(w) for w in words])
+    n, unknown = a.count(np.frombuffer(b"".join(words), np.uint8), stop - [len(w) for w in words], stop)
+    assert list(zip(n.tolist(), unknown.tolist(), strict=True)) == [greedy(w, set(pieces) | {b"a", b"b", b"c"}, set(pieces) | {b"a", b"b", b"c"}) for w in words]
+    began = time.time()
+    a.count(np.frombuffer(b"abc" * 333_333, np.uint8), np.array([0]), np.array([999_999]))
+    assert time.time() - began < 5

@@ -52,3 +52,41 @@ def test_labels_of_the_held_out_fifth_are_not_learned(spark):
     labels = spark.createDataFrame([(i, 1) for i in ids], "doc_id bigint, toxic int")
     docs = spark.createDataFrame([(i, "bad words here") for i in range(400)], "doc_id bigint, text string")
     assert T.training_rows(docs, labels).count() == 0
+
+
+def test_fit_against_plain_counts(spark):
+    """Words, their log-odds and the drift, by counting in Python."""
+    import math
+
+    from seamark.llm import kernels
+
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    labels = spark.read.parquet("/root/testdata/sf0.01/labels.parquet")
+    rows = T.training_rows(docs, labels)
+    model = T.fit(rows)
+    part = {r.doc_id: r.p for r in rows.selectExpr("doc_id", "pmod(xxhash64(doc_id, 5), 10) as p").collect()}
+    toxic, clean = {}, {}
+    for r in rows.collect():
+        if part[r.doc_id] < 7:
+            for w in set(kernels.words(__import__("pyarrow").array([r.text]))[0].tolist()):
+                side = toxic if r.toxic else clean
+                side[w] = side.get(w, 0) + 1
+    n1, n0 = sum(toxic.values()), sum(clean.values())
+    want = {}
+    for w in {*toxic, *clean}:
+        a, b = toxic.get(w, 0), clean.get(w, 0)
+        prior = T.PRIOR * (a + b)
+        odds = lambda y, n: math.log((y + prior) / (n * (1 + T.PRIOR) - y - prior))  # noqa: B023, E731
+        delta = odds(a, n1) - odds(b, n0)
+        if abs(delta / math.sqrt(1 / (a + prior) + 1 / (b + prior))) >= T.MIN_Z and abs(delta) >= T.MIN_ODDS:
+            want[w] = delta
+    got = dict(zip(model.words.values.tolist(), model.weights.tolist(), strict=True))
+    assert got.keys() == want.keys() and all(abs(got[w] - want[w]) < 1e-9 for w in want)
+    drift = max(T.DRIFT, 2 * sum((clean.get(w, 0) + 0.5) / (n0 + 1) * x for w, x in want.items()))
+    assert abs(model.drift - drift) < 1e-9
+
+
+def test_one_text_an_id_is_learned(spark):
+    docs = spark.createDataFrame([(1, "a b"), (1, "a b"), (1, None), (2, "c")], "doc_id bigint, text string")
+    labels = spark.createDataFrame([(1, 1), (1, 0), (2, 0)], "doc_id bigint, toxic int")
+    assert sorted((r.doc_id, r.toxic) for r in T.training_rows(docs, labels).collect()) in ([(1, 1), (2, 0)], [(1, 1)], [(2, 0)], [])

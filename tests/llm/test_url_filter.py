@@ -32,6 +32,24 @@ def test_reputation_shrinks(spark):
     assert all(0 <= r.bad_rate <= 1 for r in got.values())
 
 
+def test_reputation_blocks(spark):
+    pages = spark.createDataFrame([(1, "h://a.bad.org/x"), (2, "h://new.bad.org/x"), (3, "h://good.org/x"), (4, "h://www.bad.com/x")], "page_id bigint, url string")
+    outcomes = [("a.bad.org", 300, 280), ("b.bad.org", 300, 290), *((f"h{i}.org", 50, 1) for i in range(30)), ("good.org", 300, 3), ("www.bad.com", 300, 300)]
+    got = {r.page_id: r for r in U.filter_urls(pages, spark.createDataFrame(outcomes, "host string, n bigint, bad bigint")).collect()}
+    assert [got[k].verdict for k in (1, 2, 3, 4)] == ["block", "allow", "allow", "allow"]  # nothing is known of new.bad.org itself; a rule allows com/
+    assert got[2].bad_rate > 3 * got[3].bad_rate and all(0 <= r.bad_bound <= r.bad_rate <= 1 for r in got.values())
+
+
+def test_suffix_rules(spark):
+    rules = (*U.SUFFIXES, "*.ck", "!www.ck", "k12.ca.us")
+    want = {
+        "a.b.co.uk": ("co.uk", "b.co.uk"), "x.com.cn": ("com.cn", "x.com.cn"), "me.github.io": ("github.io", "me.github.io"), "a.me.github.io": ("github.io", "me.github.io"), "github.io": ("github.io", "github.io"),
+        "a.b.org.ck": ("org.ck", "b.org.ck"), "x.www.ck": ("ck", "www.ck"), "a.x.k12.ca.us": ("k12.ca.us", "x.k12.ca.us"), "a.example.org": ("org", "example.org"), "localhost": ("localhost", "localhost"), "": ("", ""),
+    }
+    got = U.with_domains(spark.createDataFrame([(h,) for h in want], "host string"), rules).collect()
+    assert {r.host: (r.suffix, r.domain) for r in got} == want
+
+
 def test_odd_rows(spark):
     rows = [(1, None), (None, "h://a.org/x"), (2, ""), (2, ""), (3, "h://a.org/x"), (4, "h://a.co.uk/en/5")]
     pages = spark.createDataFrame([(*r, None, "clash", "clash") for r in rows], PAGES)
