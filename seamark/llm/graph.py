@@ -5,9 +5,19 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import durable
+from .common import durable, if_small
 
 MAX_ROUNDS = 60
+#: Edges of a node from which on it is joined apart, so that its edges needn't meet in one task.
+HOT = 256
+
+
+def _with_least(edges: DataFrame, least: DataFrame) -> DataFrame:
+    """``edges`` (a, b) with m of ``least`` (a, m, n: its edges); edges of nodes with many stay where they are."""
+    least = durable(least)
+    hot = durable(least.where(F.col("n") > HOT).select("a", "m"))
+    cold = edges.join(least.where(F.col("n") <= HOT).select("a", "m"), "a")
+    return cold if hot.isEmpty() else cold.unionByName(edges.join(if_small(hot), "a"))
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -26,11 +36,11 @@ def components(edges: DataFrame) -> DataFrame:
             break
         said = tuple(mark)
         both = now.union(now.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        least = both.groupBy("a").agg(F.least(F.col("a"), F.min("b")).alias("m"))
-        large = both.join(least, "a").where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct()
-        least = large.groupBy("a").agg(F.min("b").alias("m"))
+        least = both.groupBy("a").agg(F.least(F.col("a"), F.min("b")).alias("m"), F.count("*").alias("n"))
+        large = durable(_with_least(both, least).where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct())
+        least = large.groupBy("a").agg(F.min("b").alias("m"), F.count("*").alias("n"))
         # a node's other smaller neighbours go to its least one; the node itself too
-        small = large.join(least, "a").where("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b")).union(least.select("a", F.col("m").alias("b")))
+        small = _with_least(large, least).where("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b")).union(least.select("a", F.col("m").alias("b")))
         now = durable(small.where("a <> b").distinct())
     else:
         raise RuntimeError("the components did not settle")
