@@ -6,15 +6,19 @@ import argparse
 import json
 import os
 import sys
+import uuid
 from typing import IO, Any
 
+from pyspark.sql.streaming import StreamingQuery
+
 from .engine import Engine
 from .operators.inspect import large_hint
 from .operators.search import server_limit
 from .session import local_session
 from .sources import settings as cfg
 from .sources.tree import INDEX_DIR, project_root
-from .streaming.resync import SingleFlight
+from .streaming.resync import SingleFlight, resync_on_change
+from .tables import shared_folder
 
 HIT_CHARS, NEAR_CHARS = 240, 200
 TOOLS = [
@@ -46,6 +50,12 @@ class Server:
         self.engine = engine
         self.flight = SingleFlight(lambda: self.engine.sync())
 
+    def watch(self) -> StreamingQuery:
+        """Sync at once and then periodically, beside the tools; a call of sync_codebase waits for it, and it skips a turn during one."""
+        minutes = self.engine.settings["sync"]["resync_interval_minutes"]
+        checkpoint = f"{shared_folder(self.engine.spark)}/{uuid.uuid4().hex}-clock"
+        return resync_on_change(self.engine.spark, self.flight, checkpoint, f"{minutes} minutes")
+
     def call(self, name: str, args: dict[str, Any]) -> Any:
         if name == "search_code":
             return [public(h) for h in self.engine.search(args["query"], server_limit(args.get("limit")), args.get("path"))]
@@ -138,7 +148,12 @@ def main(argv: list[str] | None = None, spark=None) -> int:
         for r in rows.toLocalIterator():
             print(json.dumps(r.asDict(), ensure_ascii=False))
     else:
-        Server(engine).serve()
+        server = Server(engine)
+        clock = server.watch()
+        try:
+            server.serve()
+        finally:
+            clock.stop()
     return 0
 
 

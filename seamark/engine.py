@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import os
 import time
 from datetime import UTC, datetime
 
@@ -16,7 +17,7 @@ from .operators.embed import embedded
 from .sources import settings as cfg
 from .sources.store import Store, upserted, with_meta, without
 from .sources.tree import INDEX_DIR, project_root, scan_store, scan_tree, with_store_texts, with_tree_texts
-from .tables import durable
+from .tables import durable, tidy
 
 STUB = cfg.ModelSpec("stub", 64, 0, 0, 0, None, None, "mean", True, 64, 448, False, "deterministic, for tests")
 
@@ -24,9 +25,9 @@ STUB = cfg.ModelSpec("stub", 64, 0, 0, 0, None, None, "mean", True, 64, 448, Fal
 class Engine:
     """``embed``: None for stub vectors, else a function that loads a model and returns texts -> vectors."""
 
-    def __init__(self, spark: SparkSession, root: str, index: str | None = None, settings: dict | None = None, spec: cfg.ModelSpec = STUB, embed=None, rerank=None) -> None:
+    def __init__(self, spark: SparkSession, root: str, index: str | None = None, settings: dict | None = None, spec: cfg.ModelSpec = STUB, embed=None, rerank=None, home: str | None = None) -> None:
         self.spark, self.remote = spark, "://" in root
-        self.root = root if self.remote else str(project_root(root, home="/nonexistent-home"))
+        self.root = root if self.remote else str(project_root(root, home=home or os.path.expanduser("~")))
         self.settings = settings or (cfg.DEFAULTS if self.remote else cfg.load(f"{self.root}/{INDEX_DIR}/config.toml"))
         self.spec, self.embed, self.rerank = spec, embed, rerank
         self.store = Store(spark, index or f"{self.root}/{INDEX_DIR}/index")
@@ -52,6 +53,7 @@ class Engine:
         """``asked`` (path and any other columns, a written table) with the texts of these files."""
         return with_store_texts(asked, self.root) if self.remote else with_tree_texts(asked, self.root)
 
+    @tidy
     def sync(self, force: bool = False) -> dict:
         """Bring the index in step with the tree; one new version if anything changed.
 
@@ -77,7 +79,7 @@ class Engine:
         if not self.store.version() or stats["files_indexed"] or stats["files_deleted"] or kinds.get("touched"):
             self._apply(files, chunks, vectors, meta, said, changed, touched, gone, plan)
         else:
-            self.store.write(meta=with_meta(meta, self.spark, last_sync_at=_now()))
+            self.store.write(meta=with_meta(meta, self.spark, last_sync_at=_now()))  # nothing else is written
         return stats | {"elapsed_ms": int((time.time() - began) * 1000)}
 
     def _apply(self, files, chunks, vectors, meta, said, changed, touched, gone, plan) -> None:
@@ -111,6 +113,7 @@ class Engine:
         """The best chunks for one text, as result rows in order."""
         return [r for _, r in self.search_many([text], limit, scope)]
 
+    @tidy
     def search_many(self, texts: list[str], limit: int = 10, scope: str | None = None) -> list[tuple[int, dict]]:
         scope = self.spark.range(1).select(norm_scope(F.lit(scope or ""))).first()[0]
         asked = self.spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "qid bigint, text string")
@@ -125,7 +128,7 @@ class Engine:
     def status(self) -> dict:
         now: Column = F.current_timestamp()
         s = self.settings
-        return inspect.status(*(self.store.read(x) for x in ("files", "chunks", "vectors", "meta")), now, s["sync"]["resync_interval_minutes"], s["search"]["exact_below"]).first().asDict()
+        return inspect.status(*(self.store.read(x) for x in ("files", "chunks", "vectors", "meta")), now, s["sync"]["resync_interval_minutes"]).first().asDict()
 
     def is_due(self) -> bool:
         return self.status()["resync_due"]

@@ -1,10 +1,16 @@
 """Chunkers: one row a file in, one row a chunk out, with byte offsets.
 
-All but the syntax chunker are column expressions. ``files`` has path and text.
+Each is a kernel over the bytes of one text, linear in its length, and a column function that runs it on Arrow batches.
+``files`` has path and text.
 """
 
 from __future__ import annotations
 
+import re
+from collections.abc import Callable, Iterable
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -14,107 +20,130 @@ WINDOW, OVERLAP = 100, 20
 CAP, LEAST_CAP = 2048, 256
 WHOLE_BELOW = 2048  # bytes under which a structured file is one chunk
 CHUNK = "struct<start_byte:bigint,end_byte:bigint,node_type:string,symbol:string>"
+Span = tuple[int, int, str, str | None]
+_KIND = pa.list_(pa.struct([("start_byte", pa.int64()), ("end_byte", pa.int64()), ("node_type", pa.string()), ("symbol", pa.string())]))
+_HEADING = re.compile(r"\s*#{1,3} ")
 
 
-def lines_of(text: Column) -> Column:
-    """Lines with their terminators; they join to the text again."""
-    return F.regexp_extract_all(text, F.lit(r"(?s)([^\n]*\n|[^\n]+$)"), F.lit(1))
-
+def _arrow(lists: Iterable[list[Span]]) -> pa.Array:
+    return pa.array([[dict(zip(("start_byte", "end_byte", "node_type", "symbol"), c, strict=True)) for c in spans] for spans in lists], _KIND)
 
-def _bound(value: Column, body) -> Column:
-    """``body`` of a variable that holds ``value``: evaluated once, however often it is used."""
-    return F.transform(F.array(value), body)[0]
 
+def _column(kernel: Callable[[bytes], list[Span]]) -> Callable[[Column], Column]:
+    @F.arrow_udf(f"array<{CHUNK}>")
+    def run(texts: pa.Array) -> pa.Array:
+        return _arrow(kernel((t or "").encode()) for t in texts.to_pylist())
 
-def byte_starts(lines: Column) -> Column:
-    """Byte offset of each line, and of the end: one more than lines."""
-    zero = F.struct(F.lit(0).cast("bigint").alias("at"), F.array(F.lit(0).cast("bigint")).alias("all"))
-    step = lambda s, x: F.struct((s["at"] + F.octet_length(x)).alias("at"), F.concat(s["all"], F.array(s["at"] + F.octet_length(x))).alias("all"))
-    return F.aggregate(lines, zero, step, lambda s: s["all"])
+    return run
 
 
-def _chunk(start: Column, end: Column, kind: Column) -> Column:
-    return F.struct(start.cast("bigint").alias("start_byte"), end.cast("bigint").alias("end_byte"), kind.alias("node_type"), F.lit(None).cast("string").alias("symbol"))
+def line_starts(raw: bytes) -> list[int]:
+    """Where each line begins, and the end: one more than lines."""
+    starts = [0, *(np.flatnonzero(np.frombuffer(raw, np.uint8) == 10) + 1).tolist()]
+    return starts if starts[-1] == len(raw) else [*starts, len(raw)]
 
 
-def line_windows(text: Column, kind: str = "lines", base: Column | None = None) -> Column:
+def windows(raw: bytes, kind: str = "lines") -> list[Span]:
     """Windows of WINDOW lines that overlap by OVERLAP, up to the one that reaches the end."""
-    base = F.lit(0) if base is None else base
-    step = WINDOW - OVERLAP
-
-    def windows(starts: Column) -> Column:
-        n = F.size(starts) - 1
-        firsts = F.filter(F.sequence(F.lit(0), F.greatest(n - 1, F.lit(0)), F.lit(step)), lambda i: (n > 0) & ((i == 0) | (i - step + WINDOW < n)))
-        return F.transform(firsts, lambda i: _chunk(base + starts[i], base + starts[F.least(i + WINDOW, n)], F.lit(kind)))
-
-    return _bound(byte_starts(lines_of(text)), windows)
+    starts, step = line_starts(raw), WINDOW - OVERLAP
+    n = len(starts) - 1
+    return [(starts[i], starts[min(i + WINDOW, n)], kind, None) for i in range(0, n, step) if i == 0 or i - step + WINDOW < n]
 
 
-def _sections(text: Column, cuts, kind: str) -> Column:
+def sections(raw: bytes, cuts: Callable[[str], object], kind: str) -> list[Span]:
     """Spans that begin at the first line and at each line for which ``cuts`` holds."""
+    starts = line_starts(raw)
+    firsts = [a for k, (a, b) in enumerate(zip(starts, starts[1:], strict=False)) if k == 0 or cuts(raw[a:b].decode(errors="replace"))]
+    return [(a, b, kind, None) for a, b in zip(firsts, [*firsts[1:], len(raw)], strict=False)]
 
-    def spans(pair: Column) -> Column:
-        lines, starts = pair["lines"], pair["starts"]
-        n = F.size(lines)
-        firsts = F.filter(F.sequence(F.lit(0), F.greatest(n - 1, F.lit(0))), lambda i: (n > 0) & ((i == 0) | cuts(F.get(lines, i))))
-        return _bound(firsts, lambda f: F.transform(f, lambda i, k: _chunk(starts[i], starts[F.coalesce(F.get(f, k + 1), n)], F.lit(kind))))
 
-    return _bound(_bound(lines_of(text), lambda x: F.struct(x.alias("lines"), byte_starts(x).alias("starts"))), spans)
-
-
-def markdown_sections(text: Column) -> Column:
+def headings(raw: bytes) -> list[Span]:
     """Sections that begin at headings of one to three #; also within fenced code."""
-    return _sections(text, lambda line: line.rlike(r"(?U)^\s*#{1,3} "), "heading")
+    return sections(raw, _HEADING.match, "heading")
 
 
-def structured(text: Column, kind: str) -> Column:
+def keys(raw: bytes, kind: str) -> list[Span]:
     """Keys of yaml, toml or json: whole when small, else cut at top-level keys (json: line windows)."""
-    whole = F.array(_chunk(F.lit(0), F.octet_length(text), F.lit(f"{kind}_key")))
+    if len(raw) < WHOLE_BELOW:
+        return [(0, len(raw), f"{kind}_key", None)]
     if kind == "json":
-        large = line_windows(text)
-    elif kind == "toml":
-        large = _sections(text, lambda line: line.startswith("["), "toml_key")
-    else:
-        large = _sections(text, lambda line: line.contains(":") & ~line.rlike(r"(?U)^(\s|#)"), "yaml_key")
-    return F.when(F.octet_length(text) < WHOLE_BELOW, whole).otherwise(large)
+        return windows(raw)
+    if kind == "toml":
+        return sections(raw, lambda line: line.startswith("["), "toml_key")
+    return sections(raw, lambda line: ":" in line and not line[0].isspace() and line[0] != "#", "yaml_key")
 
 
-def merge_small(chunks: Column, cap: int = CAP) -> Column:
+def joined(spans: list[Span], cap: int = CAP) -> list[Span]:
     """Greedily join following chunks while their span fits the cap; gaps between them are kept.
 
     A joined chunk has no symbol, and is a ``block`` if kinds differ.
     """
-    target = max(cap, LEAST_CAP)
-    ordered = F.array_sort(chunks)
+    target, out = max(cap, LEAST_CAP), []
+    for start, end, kind, symbol in sorted(spans, key=lambda c: (c[0], c[1], c[2], c[3] is None, c[3] or "")):
+        if out and start >= out[-1][1] and end - out[-1][0] <= target:
+            first, _, was, _ = out[-1]
+            out[-1] = (first, end, kind if kind == was else "block", None)
+        else:
+            out.append((start, end, kind, symbol))
+    return out
 
-    def step(out: Column, c: Column) -> Column:
-        last = F.get(out, F.size(out) - 1)
-        fits = (F.size(out) > 0) & (c["start_byte"] >= last["end_byte"]) & (c["end_byte"] - last["start_byte"] <= target)
-        joined = F.struct(last["start_byte"].alias("start_byte"), c["end_byte"].alias("end_byte"), F.when(last["node_type"] == c["node_type"], c["node_type"]).otherwise("block").alias("node_type"), F.lit(None).cast("string").alias("symbol"))
-        return F.when(fits, F.concat(F.slice(out, F.lit(1), F.greatest(F.size(out) - 1, F.lit(0))), F.array(joined))).otherwise(F.concat(out, F.array(c)))
 
-    return F.aggregate(ordered, F.array().cast(f"array<{CHUNK}>"), step)
+def pieces(raw: bytes, spans: list[Span], cap: int = CAP) -> list[Span]:
+    """Cut chunks of more than the cap's bytes, back to where a character begins."""
+    cap, out = max(cap, LEAST_CAP), []
+    for start, end, kind, symbol in spans:
+        while end - start > cap:
+            at = start + cap
+            while at > start + cap - 3 and raw[at] & 0xC0 == 0x80:
+                at -= 1
+            out.append((start, at, kind, symbol))
+            start = at
+        out.append((start, end, kind, symbol))
+    return out
+
+
+def chunked(text: str, lang: str, cap: int = CAP) -> list[Span]:
+    """The chunks of one text by its language; what a syntax chunker finds nothing in goes by line windows."""
+    from .syntax import SYNTAX_LANGUAGES, chunks_of
+
+    raw = text.encode()
+    if lang in SYNTAX_LANGUAGES:
+        found = joined(chunks_of(text, lang, cap), cap) or windows(raw)
+    elif lang == "markdown":
+        found = headings(raw)
+    elif lang in ("yaml", "toml", "json"):
+        found = keys(raw, lang)
+    else:
+        found = windows(raw)
+    return pieces(raw, found, cap) if raw else []
 
 
-def capped(text: Column, chunks: Column, cap: int = CAP) -> Column:
-    """Cut chunks of more than the cap's bytes, back to where a character begins."""
-    cap = max(cap, LEAST_CAP)
+def line_windows(text: Column, kind: str = "lines") -> Column:
+    return _column(lambda raw: windows(raw, kind))(text)
+
 
-    def pieces(raw: Column) -> Column:
-        # in the Latin-1 view a byte is a character; 80 to BF continue a character
-        def back(at: Column) -> Column:
-            tail = F.substring(raw, at - 2, F.lit(4))  # bytes at - 3 to at, the last being the first of the next piece
-            moved = F.when(F.substring(tail, 4, 1).rlike("[\x80-\xbf]"), F.when(F.substring(tail, 3, 1).rlike("[\x80-\xbf]"), F.when(F.substring(tail, 2, 1).rlike("[\x80-\xbf]"), 3).otherwise(2)).otherwise(1)).otherwise(0)
-            return at - moved
+def markdown_sections(text: Column) -> Column:
+    return _column(headings)(text)
 
-        def cut(c: Column) -> Column:
-            steps = F.sequence(F.lit(1), F.greatest(F.ceil((c["end_byte"] - c["start_byte"]) / (cap - 3)).cast("int"), F.lit(1)))
-            edges = F.aggregate(steps, F.array(c["start_byte"]), lambda e, _: F.when(F.element_at(e, -1) >= c["end_byte"], e).otherwise(F.concat(e, F.array(F.when(F.element_at(e, -1) + cap >= c["end_byte"], c["end_byte"]).otherwise(back((F.element_at(e, -1) + cap).cast("int")).cast("bigint"))))))
-            return _bound(edges, lambda e: F.transform(F.slice(e, F.lit(1), F.size(e) - 1), lambda a, k: F.struct(a.alias("start_byte"), e[k + 1].alias("end_byte"), c["node_type"].alias("node_type"), c["symbol"].alias("symbol"))))
 
-        return F.flatten(F.transform(chunks, lambda c: F.when(c["end_byte"] - c["start_byte"] <= cap, F.array(c)).otherwise(cut(c))))
+def structured(text: Column, kind: str) -> Column:
+    return _column(lambda raw: keys(raw, kind))(text)
+
+
+def merge_small(chunks: Column, cap: int = CAP) -> Column:
+    @F.arrow_udf(f"array<{CHUNK}>")
+    def run(lists: pa.Array) -> pa.Array:
+        return _arrow(joined([tuple(c.values()) for c in x or []], cap) for x in lists.to_pylist())
 
-    return _bound(F.decode(F.encode(text, "utf-8"), "iso-8859-1"), pieces)
+    return run(chunks)
+
+
+def capped(text: Column, chunks: Column, cap: int = CAP) -> Column:
+    @F.arrow_udf(f"array<{CHUNK}>")
+    def run(texts: pa.Array, lists: pa.Array) -> pa.Array:
+        return _arrow(pieces((t or "").encode(), [tuple(c.values()) for c in x or []], cap) for t, x in zip(texts.to_pylist(), lists.to_pylist(), strict=True))
+
+    return run(text, chunks)
 
 
 def chunk_files(files: DataFrame, cap: int = CAP) -> DataFrame:
@@ -124,15 +153,12 @@ def chunk_files(files: DataFrame, cap: int = CAP) -> DataFrame:
     Null and empty texts have no chunk. Languages with a syntax chunker use that; what it finds
     nothing in, and every other file, goes by line windows.
     """
-    from .syntax import SYNTAX_LANGUAGES, syntax_chunks
-
-    files = files.select("path", F.coalesce("text", F.lit("")).alias("text")).withColumn("language", language(F.col("path")))
-    text, lang = F.col("text"), F.col("language")
-    found = F.when(lang == "markdown", markdown_sections(text)).when(lang == "yaml", structured(text, "yaml")).when(lang == "toml", structured(text, "toml")).when(lang == "json", structured(text, "json")).otherwise(line_windows(text))
-    plain = files.where(~lang.isin(*SYNTAX_LANGUAGES)).withColumn("chunks", found)
-    parsed = syntax_chunks(files.where(lang.isin(*SYNTAX_LANGUAGES)), cap)
-    parsed = parsed.withColumn("chunks", F.when(F.size("chunks") > 0, merge_small(F.col("chunks"), cap)).otherwise(line_windows(text)))
-    made = plain.unionByName(parsed).where("text <> ''").withColumn("chunks", capped(text, F.col("chunks"), cap))
-    rows = made.select("path", "language", "text", F.posexplode("chunks").alias("chunk_index", "c"))
+
+    @F.arrow_udf(f"array<{CHUNK}>")
+    def run(texts: pa.Array, langs: pa.Array) -> pa.Array:
+        return _arrow(chunked(t, x, cap) for t, x in zip(texts.to_pylist(), langs.to_pylist(), strict=True))
+
+    files = files.select("path", "text").where("text <> ''").withColumn("language", language(F.col("path")))
+    rows = files.withColumn("chunks", run("text", "language")).select("path", "language", "text", F.posexplode("chunks").alias("chunk_index", "c"))
     content = F.decode(F.substring(F.encode("text", "utf-8"), (F.col("c.start_byte") + 1).cast("int"), (F.col("c.end_byte") - F.col("c.start_byte")).cast("int")), "utf-8")
     return rows.select("path", "language", "chunk_index", "c.start_byte", "c.end_byte", "c.node_type", "c.symbol", content.alias("content"))

@@ -2,26 +2,54 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.vector import cosine
-from .search import knn_batch
+from .search import MAX_QUERIES, TILE, knn_batch
 
 
 def gold_ranks(vectors: DataFrame, queries: DataFrame, gold: DataFrame) -> DataFrame:
     """qid and the 1-based rank of its gold vector among all, ties by id; rows + 1 if it has none.
 
-    A rank is one more than the vectors that come before the gold one, so no list of all is sorted.
+    A rank is one more than the vectors that come before the gold one: tiles of vectors meet tiles of queries in matrix
+    products, and a task hands on a count for each query. Queries are a request's own, MAX_QUERIES at most.
     """
     total = vectors.agg((F.count("*") + 1).alias("absent"))
     asked = queries.select("qid", "vector").join(gold.select("qid", F.col("vector_id").alias("gold_id")), "qid")
-    own = asked.join(vectors.select(F.col("vector_id").alias("gold_id"), F.col("embedding").alias("_g")), "gold_id", "left").select("qid", "vector", "gold_id", F.round(cosine(F.col("_g"), F.col("vector")), 9).alias("gold_cos"))
-    score = F.round(cosine(F.col("embedding"), F.col("vector")), 9)
-    scored = vectors.crossJoin(F.broadcast(own)).withColumn("cos", score)  # a stated set of queries against all vectors
-    before = (F.col("cos") > F.col("gold_cos")) | ((F.col("cos") == F.col("gold_cos")) & (F.col("vector_id") < F.col("gold_id")))
-    ranks = scored.groupBy("qid").agg(F.max("gold_cos").alias("found"), F.count(F.when(before, 1)).alias("n"))
-    return ranks.crossJoin(total).select("qid", F.when(F.col("found").isNotNull(), F.col("n") + 1).otherwise(F.col("absent")).alias("rank"))
+    own = asked.join(vectors.select(F.col("vector_id").alias("gold_id"), F.col("embedding").alias("_g")), "gold_id", "left").select("qid", "vector", "gold_id", "_g")
+    rows = own.limit(MAX_QUERIES + 1).collect()
+    if len(rows) > MAX_QUERIES:
+        raise ValueError(f"more than {MAX_QUERIES} queries in one call")
+    known = [r for r in rows if r["_g"] is not None]
+    ids, golds = np.array([r.qid for r in known], np.int64), np.array([r.gold_id for r in known], np.int64)
+    matrix, answers = np.array([r.vector for r in known], np.float64), np.array([r["_g"] for r in known], np.float64)
+    norms = np.linalg.norm(matrix, axis=-1) if known else np.zeros(0)
+    edge = np.round((matrix * answers).sum(axis=1) / np.maximum(norms * np.linalg.norm(answers, axis=1), 1e-12), 9) if known else norms
+    shared = vectors.sparkSession.sparkContext.broadcast((ids, golds, matrix, norms, edge))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        ids, golds, matrix, norms, edge = shared.value
+        before = np.zeros(len(ids), np.int64)
+        for batch in batches:
+            batch = batch.filter(batch.column(1).is_valid())
+            for lo in range(0, batch.num_rows, TILE):
+                part = batch.slice(lo, TILE)
+                own = np.asarray(part.column(0))
+                x = np.asarray(part.column(1).flatten(), dtype=np.float64).reshape(part.num_rows, -1)
+                length = np.linalg.norm(x, axis=1)
+                for q in range(0, len(ids), TILE):
+                    cos = np.round(matrix[q : q + TILE] @ x.T / np.maximum(norms[q : q + TILE, None] * length[None], 1e-12), 9)
+                    least = edge[q : q + TILE, None]
+                    before[q : q + TILE] += ((cos > least) | ((cos == least) & (own[None] < golds[q : q + TILE, None]))).sum(axis=1)
+        yield pa.RecordBatch.from_arrays([pa.array(ids), pa.array(before)], names=["qid", "n"])
+
+    found = vectors.select(F.col("vector_id").cast("bigint"), F.col("embedding").cast("array<double>")).mapInArrow(run, "qid bigint, n bigint").groupBy("qid").agg((F.sum("n") + 1).alias("rank"))
+    return own.select("qid").join(found, "qid", "left").crossJoin(total).select("qid", F.coalesce("rank", "absent").alias("rank"))  # total is one row
 
 
 def golden_ranks(hits: DataFrame, expected: DataFrame) -> DataFrame:

@@ -6,7 +6,6 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import due
-from .ann import EXACT_BELOW
 from .sync import merkle_root, short_root
 
 LARGE_FILES, LARGE_SECONDS = 1500, 15
@@ -34,14 +33,16 @@ def counts(files: DataFrame, chunks: DataFrame) -> DataFrame:
     return files.agg(F.count("*").alias("files")).crossJoin(chunks.agg(F.count("*").alias("chunks")))  # one row each
 
 
-def status(files: DataFrame, chunks: DataFrame, vectors: DataFrame, meta: DataFrame, now, minutes: int = 10, exact_below: int = EXACT_BELOW) -> DataFrame:
-    """One row about the index; reads no model. ``now`` is a timestamp column."""
+def status(files: DataFrame, chunks: DataFrame, vectors: DataFrame, meta: DataFrame, now, minutes: int = 10, backend: str = "exact") -> DataFrame:
+    """One row about the index; reads no model. ``now`` is a timestamp column. A root that meta holds is not computed again."""
     value = lambda k: F.max(F.when(F.col("key") == k, F.col("value"))).alias(k)
-    said = meta.agg(value("model_name"), value("last_sync_at"))
-    row = counts(files, chunks).crossJoin(vectors.agg(F.count("*").alias("vector_count"))).crossJoin(said).crossJoin(merkle_root(files))  # one row each
+    said = meta.agg(value("model_name"), value("last_sync_at"), value("merkle_root"))
+    row = counts(files, chunks).crossJoin(vectors.agg(F.count("*").alias("vector_count"))).crossJoin(said)  # one row each
+    if meta.where("key = 'merkle_root'").isEmpty():
+        row = row.drop("merkle_root").crossJoin(merkle_root(files).withColumnRenamed("root", "merkle_root"))
     return row.select(
         "files", "chunks", "vector_count", F.col("model_name").alias("model"), "last_sync_at", F.try_to_timestamp("last_sync_at").isNull().alias("is_stale"),
-        due(F.col("last_sync_at"), now, F.lit(minutes)).alias("resync_due"), F.when(F.col("vector_count") < exact_below, "exact").otherwise("cells").alias("search_backend"), short_root(F.col("root")).alias("merkle_root"),
+        due(F.col("last_sync_at"), now, F.lit(minutes)).alias("resync_due"), F.lit(backend).alias("search_backend"), short_root(F.col("merkle_root")).alias("merkle_root"),
     )
 
 

@@ -22,6 +22,8 @@ K1, B, RRF_K = 1.2, 0.75, 60
 OVERFETCH, LEAST_FETCH = 40, 400
 RERANK_TOP = 50
 MAX_QUERIES = 20_000
+#: Vectors and queries in one matrix product.
+TILE = 1024
 SERVER_LIMITS = (1, 10, 50)
 
 
@@ -48,11 +50,22 @@ def knn(vectors: DataFrame, query: list[float], k: int) -> DataFrame:
     return vectors.withColumn("cos", F.round(cosine(F.col("embedding"), wanted), 9)).orderBy(F.desc("cos"), "vector_id").limit(k)
 
 
+def _best(ids: np.ndarray, cos: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """The ``k`` best of each row by cosine, ties by id; only rows at or above the k-th cosine are sorted."""
+    if cos.shape[1] > k:
+        edge = -np.partition(-cos, k - 1, axis=1)[:, k - 1 : k]
+        most = int((cos >= edge).sum(axis=1).max())  # more than k where some tie with the k-th
+        keep = np.argpartition(-cos, most - 1, axis=1)[:, :most] if most < cos.shape[1] else np.broadcast_to(np.arange(cos.shape[1]), cos.shape)
+        ids, cos = np.take_along_axis(ids, keep, 1), np.take_along_axis(cos, keep, 1)
+    order = np.lexsort((ids, -cos), axis=1)[:, :k]
+    return np.take_along_axis(ids, order, 1), np.take_along_axis(cos, order, 1)
+
+
 def knn_batch(vectors: DataFrame, queries: DataFrame, k: int) -> DataFrame:
     """The ``k`` nearest of ``vectors`` for every row of ``queries`` (qid, vector): qid, vector_id, cos.
 
-    A batch of vectors meets all queries in one matrix product and only its ``k`` best for each
-    query leave it, so what is shuffled doesn't grow with the vectors' width.
+    TILE vectors meet TILE queries in one matrix product, and a task keeps the ``k`` best of each query as it goes: what it
+    holds is k rows a query, and that is all it hands on, whatever the vectors' number and width.
     """
     rows = queries.select("qid", "vector").where("vector is not null").limit(MAX_QUERIES + 1).collect()
     if len(rows) > MAX_QUERIES:
@@ -65,15 +78,22 @@ def knn_batch(vectors: DataFrame, queries: DataFrame, k: int) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ids, matrix, norms = shared.value
+        top: dict[int, tuple[np.ndarray, np.ndarray]] = {}  # by the first query of a tile: ids and cosines, k a query
         for batch in batches:
             batch = batch.filter(batch.column(1).is_valid())
-            if batch.num_rows == 0:
-                continue
-            own = np.asarray(batch.column(0))
-            x = np.asarray(batch.column(1).flatten(), dtype=np.float64).reshape(batch.num_rows, -1)
-            cos = np.round(matrix @ x.T / np.maximum(norms[:, None] * np.linalg.norm(x, axis=1)[None], 1e-12), 9)
-            best = np.lexsort((np.broadcast_to(own, cos.shape), -cos), axis=1)[:, :k]
-            yield pa.RecordBatch.from_arrays([pa.array(np.repeat(ids, best.shape[1])), pa.array(own[best].ravel()), pa.array(np.take_along_axis(cos, best, 1).ravel())], names=["qid", "vector_id", "cos"])
+            for lo in range(0, batch.num_rows, TILE):
+                part = batch.slice(lo, TILE)
+                own = np.asarray(part.column(0))
+                x = np.asarray(part.column(1).flatten(), dtype=np.float64).reshape(part.num_rows, -1)
+                length = np.linalg.norm(x, axis=1)
+                for q in range(0, len(ids), TILE):
+                    cos = np.round(matrix[q : q + TILE] @ x.T / np.maximum(norms[q : q + TILE, None] * length[None], 1e-12), 9)
+                    mine = np.broadcast_to(own, cos.shape)
+                    if q in top:
+                        mine, cos = np.concatenate([top[q][0], mine], 1), np.concatenate([top[q][1], cos], 1)
+                    top[q] = _best(mine, cos, k)
+        for q, (mine, cos) in top.items():
+            yield pa.RecordBatch.from_arrays([pa.array(np.repeat(ids[q : q + TILE], mine.shape[1])), pa.array(mine.ravel()), pa.array(cos.ravel())], names=["qid", "vector_id", "cos"])
 
     found = vectors.select(F.col("vector_id").cast("bigint"), F.col("embedding").cast("array<double>")).mapInArrow(run, "qid bigint, vector_id bigint, cos double")
     return found.withColumn("sem", _rank("qid", F.desc("cos"), F.col("vector_id"))).where(F.col("sem") < k).drop("sem")
@@ -87,13 +107,15 @@ def materialized(hits: DataFrame, chunks: DataFrame) -> DataFrame:
 def prepared(candidates: DataFrame, queries: DataFrame) -> DataFrame:
     """Adds dl (tokens of the content) and counts (term and tf of the query's terms that it has), without the content.
 
-    Tokens meet the query's terms in a hash join and are counted before any shuffle.
+    A content that many queries have found is tokenised once, and only what some query asks for is counted.
     """
-    terms = queries.select("qid", F.explode(query_terms(F.col("text"))).alias("term"))
-    tokens = candidates.select("qid", "vector_id", F.explode(tokenize(F.col("content"))).alias("term"))
-    tf = tokens.join(F.broadcast(terms), ["qid", "term"]).groupBy("qid", "vector_id", "term").agg(F.count("*").cast("int").alias("tf"))  # MAX_QUERIES bounds terms
-    counts = tf.groupBy("qid", "vector_id").agg(F.collect_list(F.struct("term", "tf")).alias("counts"))  # as many as the query has terms
-    slim = candidates.withColumn("dl", F.size(tokenize(F.col("content")))).drop("content").join(counts, ["qid", "vector_id"], "left")
+    terms = queries.select("qid", F.explode(query_terms(F.col("text"))).alias("term"))  # MAX_QUERIES bounds it
+    texts = candidates.select("vector_id", "content").dropDuplicates(["vector_id"]).select("vector_id", tokenize(F.col("content")).alias("tokens"))
+    texts = durable(texts)
+    tf = texts.select("vector_id", F.explode("tokens").alias("term")).join(F.broadcast(terms.select("term").distinct()), "term", "left_semi").groupBy("vector_id", "term").agg(F.count("*").cast("int").alias("tf"))
+    pairs = candidates.select("qid", "vector_id")
+    counts = pairs.join(tf, "vector_id").join(F.broadcast(terms), ["qid", "term"]).groupBy("qid", "vector_id").agg(F.array_sort(F.collect_list(F.struct("term", "tf"))).alias("counts"))  # as many as the query has terms
+    slim = candidates.drop("content").join(texts.select("vector_id", F.size("tokens").alias("dl")), "vector_id").join(counts, ["qid", "vector_id"], "left")
     return slim.withColumn("counts", F.coalesce("counts", F.array().cast("array<struct<term:string,tf:int>>")))
 
 
@@ -149,11 +171,34 @@ def neighbours(chunks: DataFrame) -> DataFrame:
 
 
 def parents(chunks: DataFrame) -> DataFrame:
-    """vector_id and parent_id: the smallest other chunk of the file that spans it, of equal ones the first."""
-    span = chunks.select("file_path", "vector_id", "start_byte", "end_byte")
-    other = chunks.select("file_path", F.col("vector_id").alias("parent_id"), F.col("start_byte").alias("a"), F.col("end_byte").alias("b"), F.col("chunk_index").alias("k"))
-    inside = span.join(other, "file_path").where("parent_id <> vector_id and a <= start_byte and b >= end_byte")
-    return inside.groupBy("vector_id").agg(F.min_by("parent_id", F.struct(F.col("b") - F.col("a"), "k")).alias("parent_id"))
+    """vector_id and parent_id: the smallest other chunk of the file that spans it, of equal ones the first.
+
+    A file's chunks come in order of their start, the longer first, and only those that still reach further are held.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, held = None, []  # end, start, chunk_index, vector_id
+        for batch in batches:
+            own, found = [], []
+            for path, vector, start, end, index in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if path != now:
+                    now, held = path, []
+                held = [h for h in held if h[0] >= start]
+                around = [(h[0] - h[1], h[2], h[3]) for h in held if h[0] >= end and h[3] != vector]
+                if around:
+                    own.append(vector)
+                    found.append(min(around)[2])
+                held.append((end, start, index, vector))
+            yield pa.RecordBatch.from_arrays([pa.array(own, pa.int64()), pa.array(found, pa.int64())], names=["vector_id", "parent_id"])
+
+    span = chunks.select("file_path", "vector_id", "start_byte", "end_byte", F.col("chunk_index").cast("bigint").alias("chunk_index"))
+    # of equal spans the first is the parent of all others, and has the second
+    same = Window.partitionBy("file_path", "start_byte", "end_byte").orderBy("chunk_index", "vector_id")
+    twins = span.withColumns({"_first": F.first("vector_id").over(same), "_next": F.lead("vector_id").over(same)})
+    twins = twins.select("vector_id", F.when(F.col("vector_id") == F.col("_first"), F.col("_next")).otherwise(F.col("_first")).alias("twin"))
+    above = span.repartition("file_path").sortWithinPartitions("file_path", "start_byte", F.desc("end_byte"), "chunk_index", "vector_id").mapInArrow(run, "vector_id bigint, parent_id bigint")
+    both = twins.join(above, "vector_id", "left")
+    return both.select("vector_id", F.coalesce("twin", "parent_id").alias("parent_id")).where("parent_id is not null")
 
 
 def results(ordered: DataFrame, chunks: DataFrame, files: DataFrame, limit: int) -> DataFrame:

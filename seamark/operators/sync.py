@@ -100,13 +100,16 @@ def allocated(plan: DataFrame, next_id: int) -> DataFrame:
 
 
 def merkle_root(files: DataFrame) -> DataFrame:
-    """One row: root, the digest over path NUL hash newline of all files in path order.
+    """One row: root, the digest of a tree over all files.
 
-    The order is global by definition; what is gathered is one short line a file, not its text.
+    A file's line (path NUL hash newline) belongs to one of 4,096 leaves by the digest of its path; a leaf's digest is over its
+    lines in path order, and the root's over the leaves in order. So a task gathers a leaf's lines, not all.
     """
     line = F.concat(F.col("path"), F.lit("\x00"), F.col("content_hash"), F.lit("\n"))
-    lines = F.array_sort(F.collect_list(F.struct("path", line.alias("line"))))
-    return files.agg(digest(F.array_join(F.transform(lines, lambda x: x["line"]), "")).alias("root"))
+    lines = F.transform(F.array_sort(F.collect_list(F.struct("path", line.alias("line")))), lambda x: x["line"])
+    leaves = files.groupBy(F.left(digest(F.col("path")), F.lit(3)).alias("bucket")).agg(digest(F.array_join(lines, "")).alias("leaf"))
+    top = F.transform(F.array_sort(F.collect_list(F.struct("bucket", F.concat("bucket", "leaf", F.lit("\n")).alias("line")))), lambda x: x["line"])  # 4,096 at most
+    return leaves.agg(digest(F.array_join(top, "")).alias("root"))
 
 
 def fingerprint(model: str, dims: int, max_length: int, cap: int, contract: str, version: str = CHUNKER_VERSION) -> str:

@@ -8,12 +8,7 @@ from __future__ import annotations
 
 import ast
 import re
-from collections.abc import Iterator
-
-import pandas as pd
-from pyspark.sql import DataFrame
-
-from .chunk import CAP, CHUNK, OVERLAP, WINDOW
+from .chunk import CAP, OVERLAP, WINDOW
 
 SYNTAX_LANGUAGES = ("rust", "python", "typescript", "tsx", "javascript", "go", "java", "c", "cpp")
 _NAME = r"([A-Za-z_][A-Za-z0-9_]*)"
@@ -33,6 +28,11 @@ _MEMBER = re.compile(rf"(?:(?:public|protected|private|static|async|final|overri
 _SKIP = re.compile(r"//[^\n]*|/\*.*?\*/|\"(?:\\.|[^\"\\\n])*\"|'(?:\\.|[^'\\\n])'|`(?:\\.|[^`\\])*`", re.S)
 
 
+_BEFORE = re.compile(r"(?:export\s+(?:default\s+)?|declare\s+)*")
+#: A line as Python's parser counts them: form feeds and Unicode's line ends don't end one.
+_LINE = re.compile(r"[^\r\n]*(?:\r\n|\r|\n)|[^\r\n]+$")
+
+
 def _blank(source: str) -> str:
     """Comments and strings as spaces, so that offsets stay."""
     return _SKIP.sub(lambda m: re.sub(r"[^\n]", " ", m[0]), source)
@@ -54,30 +54,33 @@ def _end(blank: str, at: int) -> int:
     return len(blank)
 
 
-def _scan(source: str, language: str) -> list[tuple[int, int, str, str | None, bool]]:
-    blank, out, at = _blank(source), [], 0
+def _scan(blank: str, language: str) -> list[tuple[int, int, str, str | None, bool]]:
+    """Top-level declarations; what an ``export`` or ``declare`` stands before begins after it."""
+    out, at = [], 0
     forms = [(re.compile(p), kind, holds) for p, kind, holds in _FORMS[language]]
     for m in re.finditer(r"^[^\s#}]", blank, re.M):
         if m.start() < at:
             continue
+        start = _BEFORE.match(blank, m.start()).end() if language in ("typescript", "tsx", "javascript") else m.start()
         for form, kind, holds in forms:
-            found = form.match(blank, m.start())
+            found = form.match(blank, start)
             if found:
-                end = _end(blank, m.start())
-                out.append((m.start(), end, kind, found[1], holds))
+                end = _end(blank, start)
+                out.append((start, end, kind, found[1], holds))
                 at = end
                 break
     return out
 
 
-def _members(source: str, start: int, end: int, language: str) -> list[tuple[int, int, str, str | None]]:
-    blank, out = _blank(source), []
+def _members(blank: str, start: int, end: int, language: str) -> list[tuple[int, int, str, str | None]]:
+    out = []
     at = blank.find("{", start, end) + 1
     form = re.compile(_FORMS["rust"][0][0]) if language == "rust" else _MEMBER
     kind = {"rust": "function", "cpp": "function"}.get(language, "method")
+    space = re.compile(r"\s*")
     while at:
-        at = next((k for k in range(at, end) if not blank[k].isspace()), 0)
-        if not at or at >= end - 1:
+        at = space.match(blank, at, end).end()
+        if at >= end - 1:
             break
         found, stop = form.match(blank, at, end), _end(blank, at)
         if found:
@@ -88,10 +91,9 @@ def _members(source: str, start: int, end: int, language: str) -> list[tuple[int
 
 def _python(source: str) -> list[tuple[int, int, str, str | None, list]]:
     """Top-level functions and classes; of a class, its members too. Offsets are in characters."""
-    starts = [0]
-    for line in source.splitlines(keepends=True):
+    lines, starts = _LINE.findall(source), [0]
+    for line in lines:
         starts.append(starts[-1] + len(line))
-    lines = source.splitlines(keepends=True)
 
     def at(line: int, column: int) -> int:
         return starts[line - 1] + len(lines[line - 1].encode()[:column].decode(errors="ignore"))
@@ -156,17 +158,7 @@ def chunks_of(source: str, language: str, cap: int = CAP) -> list[tuple[int, int
         for node in _python(source):
             add(*of_python(node))
     else:
-        for a, b, kind, name, holds in _scan(source, language):
-            add(a, b, kind, name, (lambda a=a, b=b: [(*m, list) for m in _members(source, a, b, language)]) if holds else list)
+        blank = _blank(source)
+        for a, b, kind, name, holds in _scan(blank, language):
+            add(a, b, kind, name, (lambda a=a, b=b: [(*m, list) for m in _members(blank, a, b, language)]) if holds else list)
     return out
-
-
-def syntax_chunks(files: DataFrame, cap: int = CAP) -> DataFrame:
-    """``files`` (path, text, language) with their ``chunks``; none where nothing is found."""
-
-    def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in parts:
-            pdf["chunks"] = [[dict(zip(("start_byte", "end_byte", "node_type", "symbol"), c, strict=True)) for c in chunks_of(t or "", x, cap)] for t, x in zip(pdf["text"], pdf["language"], strict=True)]
-            yield pdf
-
-    return files.select("path", "text", "language").mapInPandas(run, f"path string, text string, language string, chunks array<{CHUNK}>")

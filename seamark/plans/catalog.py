@@ -54,18 +54,15 @@ def _vectors(s: SparkSession, d: str) -> DataFrame:
     return table(s, d, "embeddings").select(F.col("vec_id").alias("vector_id"), "embedding")
 
 
-#: 20 queries: a benchmark item's text and the vector whose id is 7 times its own.
-_QUERY_ITEMS = 20
-
-
 def _asked(s: SparkSession, d: str) -> DataFrame:
-    items = table(s, d, "benchmark").where(F.col("item_id") < _QUERY_ITEMS).select(F.col("item_id").alias("qid"), "text")
+    """A query for each benchmark item: its text, and the vector whose id is 7 times its own."""
+    items = table(s, d, "benchmark").select(F.col("item_id").alias("qid"), "text")
     return items.join(_vectors(s, d).select((F.col("vector_id") / 7).alias("k"), F.col("embedding").alias("vector")), F.col("qid") == F.col("k")).drop("k")
 
 
 _TOKENS = "list_transform(list_filter(string_split_regex(coalesce({0}, ''), '[^A-Za-z0-9_]+'), lambda t: length(t) >= 2), lambda t: lower(t))"
 _COS = "list_sum(list_transform(range(1, 65), lambda i: {0}[i]::DOUBLE * {1}[i]::DOUBLE)) / greatest(sqrt(list_sum(list_transform({0}, lambda x: x::DOUBLE * x::DOUBLE))) * sqrt(list_sum(list_transform({1}, lambda x: x::DOUBLE * x::DOUBLE))), 1e-12::DOUBLE)"
-_Q = f"q AS (SELECT item_id AS qid, text, embedding AS vector FROM benchmark JOIN embeddings ON vec_id = item_id * 7 WHERE item_id < {_QUERY_ITEMS})"
+_Q = "q AS (SELECT item_id AS qid, text, embedding AS vector FROM benchmark JOIN embeddings ON vec_id = item_id * 7)"
 _CHUNKS = "ch AS (SELECT doc_id AS vector_id, source || '/doc_' || doc_id || '.txt' AS file_path, text AS content FROM documents)"
 _LINES = r"regexp_extract_all({0}, '([^\n]*\n|[^\n]+$)', 1)"
 
@@ -376,28 +373,27 @@ def sync_stats(s: SparkSession, d: str) -> DataFrame:
     return sync.stats(sync.classified(scan, files), sync.deleted(scan, files), _plan(s, d))
 
 
-@query(f"WITH {_FILES_SQL} SELECT sha256(string_agg(path || chr(0) || content_hash || chr(10), '' ORDER BY path)) AS root FROM f")
+_ROOT = "mb AS (SELECT left(sha256(path), 3) AS bucket, sha256(string_agg(path || chr(0) || content_hash || chr(10), '' ORDER BY path)) AS leaf FROM f GROUP BY 1), mr AS (SELECT sha256(coalesce(string_agg(bucket || leaf || chr(10), '' ORDER BY bucket), '')) AS root FROM mb)"
+
+
+@query(f"WITH {_FILES_SQL}, {_ROOT} SELECT root FROM mr")
 def merkle_root(s: SparkSession, d: str) -> DataFrame:
     return sync.merkle_root(_files(s, d))
 
 
 # inspection
 
-_IX = f"{_FILES_SQL}, c AS (SELECT doc_id AS file_id, doc_id + 1 AS vector_id FROM documents WHERE doc_id % 5 <> 0)"
-
-
-def _some_chunks(s: SparkSession, d: str) -> DataFrame:
-    return _old_chunks(s, d).where("file_id % 5 <> 0")
+_IX = f"{_FILES_SQL}, c AS (SELECT doc_id AS file_id, doc_id + 1 AS vector_id FROM documents)"
 
 
 @query(f"WITH {_IX} SELECT path, count(vector_id) AS chunks FROM f LEFT JOIN c USING (file_id) GROUP BY path")
 def list_files(s: SparkSession, d: str) -> DataFrame:
-    return inspect.list_files(_files(s, d), _some_chunks(s, d))
+    return inspect.list_files(_files(s, d), _old_chunks(s, d))
 
 
 @query(f"WITH {_IX} SELECT (SELECT count(*) FROM f) AS files, (SELECT count(*) FROM c) AS chunks")
 def counts(s: SparkSession, d: str) -> DataFrame:
-    return inspect.counts(_files(s, d), _some_chunks(s, d))
+    return inspect.counts(_files(s, d), _old_chunks(s, d))
 
 
 @query("SELECT 'conv_' || conv_id AS path, turn AS chunk_index, conv_id * 1000 + turn AS vector_id FROM conversations WHERE conv_id = 3")
@@ -408,16 +404,16 @@ def chunks_of_file(s: SparkSession, d: str) -> DataFrame:
     return inspect.chunks_for_file(files, chunks, "conv_3").select(F.lit("conv_3").alias("path"), "chunk_index", "vector_id")
 
 
-@query(f"WITH {_IX} SELECT (SELECT count(*) FROM f) AS files, (SELECT count(*) FROM c) AS chunks, (SELECT count(*) FROM embeddings) AS vector_count, 'stub' AS model, '2024-01-15T00:00:00Z' AS last_sync_at, false AS is_stale, true AS resync_due, 'exact' AS search_backend, (SELECT left(sha256(string_agg(path || chr(0) || content_hash || chr(10), '' ORDER BY path)), 16) FROM f) AS merkle_root")
+@query(f"WITH {_IX}, {_ROOT} SELECT (SELECT count(*) FROM f) AS files, (SELECT count(*) FROM c) AS chunks, (SELECT count(*) FROM embeddings) AS vector_count, 'stub' AS model, '2024-01-15T00:00:00Z' AS last_sync_at, false AS is_stale, true AS resync_due, 'exact' AS search_backend, (SELECT left(root, 16) FROM mr) AS merkle_root")
 def status(s: SparkSession, d: str) -> DataFrame:
     meta = s.createDataFrame([("model_name", "stub"), ("last_sync_at", "2024-01-15T00:00:00Z")], "key string, value string")
-    return inspect.status(_files(s, d), _some_chunks(s, d), _vectors(s, d), meta, F.lit("2024-01-15 01:00:00").cast("timestamp"))
+    return inspect.status(_files(s, d), _old_chunks(s, d), _vectors(s, d), meta, F.lit("2024-01-15 01:00:00").cast("timestamp"))
 
 
 @query(f"""WITH {_IX} SELECT 'file path repeats' AS rule, 0::BIGINT AS rows UNION ALL SELECT 'vector id repeats', 0 UNION ALL SELECT 'chunk without file', 0
     UNION ALL SELECT 'chunk without vector', (SELECT count(*) FROM c WHERE vector_id NOT IN (SELECT vec_id FROM embeddings)) UNION ALL SELECT 'vector without chunk', (SELECT count(*) FROM embeddings WHERE vec_id NOT IN (SELECT vector_id FROM c))""")
 def violations(s: SparkSession, d: str) -> DataFrame:
-    return inspect.violations(_files(s, d), _some_chunks(s, d), _vectors(s, d))
+    return inspect.violations(_files(s, d), _old_chunks(s, d), _vectors(s, d))
 
 
 # evaluation

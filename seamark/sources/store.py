@@ -1,11 +1,16 @@
-"""Versioned snapshots of an index: files, chunks, vectors and meta as Parquet, and a pointer to the current version.
+"""Versioned snapshots of an index: files, chunks, vectors and meta as Parquet, and a manifest for each version.
 
-A version is written whole, then the pointer is replaced by a rename: readers see the old or the new
-version, never a mix. Any store that Spark writes will do.
+A version's manifest names the folder of each table; tables that a version doesn't change stay in the folder of an
+earlier one, so a version that only stamps the meta writes kilobytes. A manifest is written under another name and
+renamed to its number, and the current version is the greatest number there is: readers see the old or the new version, never a
+mix, and a crash at any step leaves the old one. Any store that Spark writes will do.
 """
 
 from __future__ import annotations
 
+import json
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -25,14 +30,22 @@ class Store:
         self._path = jvm.org.apache.hadoop.fs.Path
         self._fs = self._path(self.root).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
 
+    def _versions(self) -> list[int]:
+        folder = self._path(f"{self.root}/versions")
+        if not self._fs.exists(folder):
+            return []
+        names = [x.getPath().getName() for x in self._fs.listStatus(folder)]
+        return sorted(int(n) for n in names if n.isdigit())
+
     def version(self) -> int:
         """The current version, 0 for none."""
-        pointer = self._path(f"{self.root}/current")
-        if not self._fs.exists(pointer):
-            return 0
-        line = self._fs.open(pointer)
+        return max(self._versions(), default=0)
+
+    def manifest(self, version: int) -> dict[str, str]:
+        """The folder of each table of a version."""
+        line = self._fs.open(self._path(f"{self.root}/versions/{version}"))
         try:
-            return int(self.spark.sparkContext._jvm.org.apache.commons.io.IOUtils.toString(line, "UTF-8"))
+            return json.loads(self.spark.sparkContext._jvm.org.apache.commons.io.IOUtils.toString(line, "UTF-8"))
         finally:
             line.close()
 
@@ -40,31 +53,51 @@ class Store:
         v = self.version()
         if not v:
             return self.spark.createDataFrame([], SCHEMAS[name])
-        return self.spark.read.schema(SCHEMAS[name]).parquet(f"{self.root}/v={v}/{name}")
+        return self.spark.read.schema(SCHEMAS[name]).parquet(f"{self.root}/{self.manifest(v)[name]}")
 
     def write(self, **tables: DataFrame) -> int:
-        """Write a new version, with the current version's rows of tables not given, and point to it."""
-        v = self.version() + 1
-        self._fs.delete(self._path(f"{self.root}/v={v}"), True)
+        """Write the given tables as a new version that keeps the current version's other tables, and make it the current one.
+
+        Of two writers of one version the first to be done wins and the other gets an error. Folders that the
+        last two versions don't name are deleted afterwards.
+        """
+        before = self.version()
+        names = self.manifest(before) if before else {}
         for name in TABLES:
             rows = tables.get(name)
+            if rows is None and name in names:
+                continue
             rows = self.read(name) if rows is None else rows
             columns = [F.col(c).cast(t) for c, t in (x.strip().split(" ", 1) for x in SCHEMAS[name].split(", "))]
-            rows.select(*columns).write.parquet(f"{self.root}/v={v}/{name}")
-        out = self._fs.create(self._path(f"{self.root}/current.new"), True)
-        out.write(bytearray(f"{v}\n".encode()))
+            names[name] = f"data/{name}-{uuid.uuid4().hex}"
+            rows.select(*columns).write.parquet(f"{self.root}/{names[name]}")
+        self._publish(before + 1, names)
+        self._sweep()
+        return before + 1
+
+    def _publish(self, version: int, names: dict[str, str]) -> None:
+        mine = self._path(f"{self.root}/versions/new-{uuid.uuid4().hex}")
+        out = self._fs.create(mine, True)
+        out.write(bytearray(json.dumps(names).encode()))
         out.close()
-        self._fs.delete(self._path(f"{self.root}/current"), False)
-        if not self._fs.rename(self._path(f"{self.root}/current.new"), self._path(f"{self.root}/current")):
-            raise OSError("the pointer to the new version can't be set")
-        old = self._path(f"{self.root}/v={v - 2}")
-        if v > 2 and self._fs.exists(old):
-            self._fs.delete(old, True)
-        return v
+        target = self._path(f"{self.root}/versions/{version}")
+        if self._fs.exists(target) or not self._fs.rename(mine, target):
+            self._fs.delete(mine, False)
+            raise OSError(f"version {version} is there already")
+
+    def _sweep(self) -> None:
+        versions = self._versions()
+        for v in versions[:-2]:
+            self._fs.delete(self._path(f"{self.root}/versions/{v}"), False)
+        named = {x for v in versions[-2:] for x in self.manifest(v).values()}
+        for x in self._fs.listStatus(self._path(f"{self.root}/data")):
+            if f"data/{x.getPath().getName()}" not in named:
+                self._fs.delete(x.getPath(), True)
 
     def dims(self) -> int | None:
-        """Width of the stored vectors; None without any."""
-        return self.read("vectors").agg(F.max(F.size("embedding"))).first()[0]
+        """Width of the stored vectors, as the first of them has it; None without any."""
+        row = self.read("vectors").select(F.size("embedding")).first()
+        return row[0] if row else None
 
     def meta(self) -> dict[str, str]:
         return {r.key: r.value for r in self.read("meta").collect()}

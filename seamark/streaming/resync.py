@@ -1,11 +1,15 @@
-"""Re-sync while files arrive: a file stream whose micro-batches trigger one sync at a time."""
+"""Periodic re-sync: a clock stream whose micro-batches each ask for one sync.
+
+A stream of files would remember paths and so miss edited and deleted files; a sync itself compares times and sizes
+with the last snapshot, and costs little where nothing changed.
+"""
 
 from __future__ import annotations
 
 import threading
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import SparkSession
 from pyspark.sql.streaming import StreamingQuery
 
 
@@ -24,14 +28,8 @@ class SingleFlight:
             self._gate.release()
 
 
-def resync_on_change(spark: SparkSession, root: str, work: Callable[[], object], checkpoint: str, every: str = "10 minutes", once: bool = False) -> StreamingQuery:
-    """Watch a tree as a stream of files; each micro-batch with new ones runs ``work``, skipped while it runs."""
-    flight = SingleFlight(work)
-    files = spark.readStream.format("binaryFile").schema("path string, modificationTime timestamp, length long, content binary").option("recursiveFileLookup", "true").load(root).select("path", "modificationTime")
-
-    def on_batch(batch: DataFrame, _: int) -> None:
-        if not batch.isEmpty():
-            flight.run()
-
+def resync_on_change(spark: SparkSession, flight: SingleFlight, checkpoint: str, every: str = "10 minutes", once: bool = False) -> StreamingQuery:
+    """Run ``flight`` at once and then ``every`` so often; a turn is skipped while another sync of the same gate runs."""
+    clock = spark.readStream.format("rate").option("rowsPerSecond", 1).load()
     trigger = {"availableNow": True} if once else {"processingTime": every}
-    return files.writeStream.foreachBatch(on_batch).option("checkpointLocation", checkpoint).trigger(**trigger).start()
+    return clock.writeStream.foreachBatch(lambda _, __: flight.run()).option("checkpointLocation", checkpoint).trigger(**trigger).start()

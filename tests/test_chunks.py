@@ -98,3 +98,43 @@ def test_chunk_files(spark):
     assert [(r.node_type, r.symbol, r.content) for r in by["a.py"]] == [("function", None, "def f():\n    pass\n\ndef g():\n    pass")]
     assert "".join(r.content for r in sorted(by["b.js"], key=lambda r: r.chunk_index)) == "x" * 200_000 and max(len(r.content) for r in by["b.js"]) == 2048
     assert not by["c.txt"] and not by["d.md"] and by["e.rs"][0].node_type == "lines"
+
+
+@pytest.mark.parametrize("odd", ["\f", "\x0b", "\x85", "\u2028", "\x1c", "\r", "\r\n"])
+def test_python_lines(odd):
+    source = f"x = 1\n{odd if odd in '\f\r\r\n' else '# ' + odd}\ndef alpha():\n    return 'body of alpha'\n\ndef beta():\n    return 2\n"
+    got = [(source.encode()[a:b].decode(), name) for a, b, _, name in syntax.chunks_of(source, "python")]
+    assert got == [("def alpha():\n    return 'body of alpha'", "alpha"), ("def beta():\n    return 2", "beta")]
+
+
+@pytest.mark.parametrize(("language", "source", "want"), [
+    ("rust", "const A: u8 = 1;\npub static B: &str = \"{\";\nmacro_rules! m { () => {} }\n", [("block", "A"), ("block", "B"), ("block", "m")]),
+    ("typescript", "export default class A { m() {} }\nexport async function f() {}\ndeclare enum E { X }\nexport interface I { a: 1 }\n", [("class", "A"), ("function", "f"), ("enum", "E"), ("trait", "I")]),
+])
+def test_consts_and_exports(language, source, want):
+    got = syntax.chunks_of(source, language)
+    assert [(k, n) for _, _, k, n in got] == want
+    assert not any(source.encode()[a:].startswith(b"export") for a, *_ in got)
+
+
+def test_long_files_are_cut_in_linear_time():
+    import time
+
+    raw, began = b"key: value of a line\n" * 400_000, time.time()
+    assert len(chunk.windows(raw)) == 5000 and len(chunk.keys(raw, "yaml")) == 400_000
+    assert len(chunk.joined([(10 * k, 10 * k + 10, "x", None) for k in range(400_000)])) == 1961
+    assert b"".join(raw[a:b] for a, b, *_ in chunk.pieces(raw, [(0, len(raw), "lines", None)])) == raw
+    assert time.time() - began < 20
+
+
+@settings(max_examples=60, deadline=None)
+@given(st.sampled_from(["a.md", "a.yaml", "a.toml", "a.json", "a.py", "a.rs", "a.txt"]), st.lists(st.sampled_from(["# h\n", "k: v\n", "[t]\n", "def f():\n    pass\n", "fn f() {}\n", "é" * 300, "\r\n", "\n", " x\n"]), max_size=60))
+def test_every_byte_of_text_formats_is_in_a_chunk(path, parts):
+    text = "".join(parts)
+    raw, lang = text.encode(), {"md": "markdown", "txt": "text", "py": "python", "rs": "rust"}.get(path[2:], path[2:])
+    spans, reached = chunk.chunked(text, lang, 256), 0
+    for a, b, *_ in sorted(spans):
+        raw[a:b].decode()
+        assert b - a <= 256 and (lang in ("python", "rust") or a <= reached)
+        reached = max(reached, b)
+    assert lang in ("python", "rust") or reached == len(raw)

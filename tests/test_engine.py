@@ -52,6 +52,28 @@ def test_sync_cycle(spark, project):
     assert [r.path for r in e.list_files().collect()] == ["cache.rs", "geo/dist.py", "login.py"]
 
 
+def test_versions(spark, project, monkeypatch):
+    e = Engine(spark, str(project))
+    e.sync()
+    one = e.store.manifest(e.store.version())
+    e.sync()  # nothing changed: only the meta is written
+    two = e.store.manifest(e.store.version())
+    assert {k for k in one if one[k] != two[k]} == {"meta"}
+    (project / "auth.py").write_text("def other():\n    return 1\n")
+    before = e.store.version(), {r.path for r in e.store.read("files").collect()}, e.store.read("chunks").count()
+    with monkeypatch.context() as m:  # a crash before the manifest has its name
+        m.setattr(e.store, "_publish", lambda *_: (_ for _ in ()).throw(OSError("crash")))
+        with pytest.raises(OSError):
+            e.sync()
+    assert before == (e.store.version(), {r.path for r in e.store.read("files").collect()}, e.store.read("chunks").count())
+    assert e.sync()["files_indexed"] == 1
+    with pytest.raises(OSError):  # another writer was first
+        e.store._publish(e.store.version(), {})
+    folders = {x.getPath().getName() for x in e.store._fs.listStatus(e.store._path(f"{e.store.root}/data"))}
+    named = {x.split("/")[1] for v in e.store._versions() for x in e.store.manifest(v).values()}
+    assert folders == named and len(e.store._versions()) == 2  # what the crash left is gone
+
+
 def test_another_model_rebuilds(spark, project):
     from dataclasses import replace
 
@@ -160,8 +182,7 @@ def test_stream_triggers_one_sync(spark, project, tmp_path):
     from seamark.streaming.resync import SingleFlight, resync_on_change
 
     calls = []
-    query = resync_on_change(spark, str(project), lambda: calls.append(1), str(tmp_path / "cp"), once=True)
-    query.awaitTermination(60)
+    resync_on_change(spark, SingleFlight(lambda: calls.append(1)), str(tmp_path / "cp"), once=True).awaitTermination(60)
     assert len(calls) >= 1
     flight = SingleFlight(lambda: flight.run() is None)
     assert flight.run() is True

@@ -49,6 +49,44 @@ def test_parent_is_the_smallest_span(spark):
     assert {r.vector_id: r.parent_id for r in search.parents(chunks).collect()} == {2: 1, 3: 2}
 
 
+def test_parents_against_all_pairs(spark):
+    import random
+
+    r, rows = random.Random(5), []
+    for f in range(30):
+        for k in range(r.randrange(1, 25)):
+            a = r.randrange(0, 30)
+            rows.append((f"f{f}", k, 1000 * f + k, a, a + r.randrange(1, 30)))
+    want = {}
+    for f, _, v, a, b in rows:
+        around = [(y - x, k2, v2) for f2, k2, v2, x, y in rows if f2 == f and v2 != v and x <= a and y >= b]
+        if around:
+            want[v] = min(around)[2]
+    chunks = spark.createDataFrame(rows, "file_path string, chunk_index int, vector_id bigint, start_byte bigint, end_byte bigint")
+    assert {x.vector_id: x.parent_id for x in search.parents(chunks).collect()} == want
+
+
+def test_knn_and_ranks_in_tiles(spark, monkeypatch):
+    import numpy as np
+
+    monkeypatch.setattr(search, "TILE", 7)
+    monkeypatch.setattr(evaluate, "TILE", 7)
+    rng = np.random.Generator(np.random.PCG64(3))
+    x = rng.integers(-2, 3, (200, 4)).astype(float)  # many ties
+    q = rng.integers(-2, 3, (17, 4)).astype(float)
+    vectors = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)] + [(900, None)], "vector_id bigint, embedding array<float>")
+    queries = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(q)], "qid bigint, vector array<float>")
+    cos = np.round(q @ x.T / np.maximum(np.linalg.norm(q, axis=1)[:, None] * np.linalg.norm(x, axis=1)[None], 1e-12), 9)
+    order = [sorted(range(200), key=lambda i, k=k: (-cos[k, i], i)) for k in range(17)]
+    got = {}
+    for r in search.knn_batch(vectors, queries, 12).collect():
+        got.setdefault(r.qid, set()).add(r.vector_id)
+    assert got == {k: set(o[:12]) for k, o in enumerate(order)}
+    gold = spark.createDataFrame([(k, 5 * k if k else 5000) for k in range(17)], "qid bigint, vector_id bigint")
+    ranks = {r.qid: r["rank"] for r in evaluate.gold_ranks(vectors, queries, gold).collect()}
+    assert ranks == {0: 202, **{k: order[k].index(5 * k) + 1 for k in range(1, 17)}}
+
+
 @pytest.mark.parametrize(("limit", "want"), [(None, 10), (0, 1), (99, 50), (7, 7)])
 def test_limits(limit, want):
     assert search.server_limit(limit) == want
