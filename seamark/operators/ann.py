@@ -1,7 +1,7 @@
 """Approximate neighbours by inverted lists: vectors are filed under their nearest of a few centres.
 
 Centres are fitted on a bounded sample; every vector is indexed; a query probes the cells nearest
-to it and its candidates are scored exactly. The cell is a partition column of the written index, so unprobed cells aren't read.
+to it and its candidates are scored exactly.
 """
 
 from __future__ import annotations
