@@ -120,7 +120,8 @@ def near_pairs(prints: DataFrame, least: float = 0.8) -> DataFrame:
 
     ``prints`` has doc_id and fingerprint. Equal fingerprints are one class, named by its least
     doc_id; a band is BAND_SAMPLES sampled places of the octaves that both walks reach in full. Pairs are
-    between classes: class_a < class_b and likeness. Rows with a null doc_id don't count.
+    between classes: class_a < class_b and likeness. Rows with a null doc_id don't count; an empty table gives no rows. A band's
+    classes all meet each other in its join, so this is for tables without very large groups of near copies.
     """
     classes = prints.where("doc_id is not null and fingerprint <> ''").groupBy("fingerprint").agg(F.min("doc_id").alias("class"))
     rng = np.random.Generator(np.random.PCG64(5))
@@ -183,7 +184,9 @@ def compare_with_edited(docs: DataFrame) -> DataFrame:
     the smallest; rows of one id follow each other by text). A text's edited form has its last
     floor(n/2) characters replaced by the next text's first as many, or all. Null texts are empty.
     Documents are dealt into ranges of ids, and the first of each range goes to the
-    range before it too: no global order is made in one task.
+    range before it too: no global order is made in one task. Rows of one id, however often it repeats, share a range. Repeated
+    rows are each compared; a very long text is walked alone, in time in proportion to its length; an empty table gives no
+    rows; other columns are ignored.
     """
     spark = docs.sparkSession
     docs = docs.select(F.coalesce(F.col("doc_id").cast("bigint"), F.lit(-(2**63))).alias("key"), F.col("doc_id").cast("bigint").alias("doc_id"), "text")
