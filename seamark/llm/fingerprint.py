@@ -18,14 +18,16 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import kernels
-from .common import table
+from .common import durable, if_small, table
 
 #: Samples of each octave of steps; the first octave has steps 0 to FIRST - 1, each later one doubles.
 SAMPLES, FIRST = 32, 64
 PERIOD = 1 << 14  # rows of random bits; a later step uses a row that its number hashes to
 SLICE_BYTES = 12 << 20
-BANDS, BAND_SAMPLES = 16, 6
-EDIT_SCHEMA = "doc_id bigint, n_chars bigint, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double"
+#: Banding: keys a fingerprint, sampled places a key, places to take them from; from which likeness on pairs are near.
+BANDS, BAND_SAMPLES, BAND_POOL, LEAST = 16, 6, 48, 0.8
+BLOCK = 256  # classes of a band that meet in one join key
+EDIT_SCHEMA = "doc_id bigint, n_chars bigint, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double, found_edited boolean, found_next boolean"
 _HEX = np.frombuffer(b"0123456789abcdef", np.uint8)
 
 
@@ -115,27 +117,65 @@ def fingerprint_documents(docs: DataFrame) -> DataFrame:
     return docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text").mapInArrow(run, "doc_id bigint, fingerprint string")
 
 
-def near_pairs(prints: DataFrame, least: float = 0.8) -> DataFrame:
-    """Pairs of different fingerprints with a likeness of ``least`` or more, found by banding.
+def _spots(level: int) -> np.ndarray:
+    """Sampled places of the first ``level`` octaves for each band, drawn as the octaves weigh in a likeness."""
+    rng = np.random.Generator(np.random.PCG64([5, level]))
+    weight = np.maximum(1, 2.0 ** (np.arange(level) - 1))
+    octave = rng.choice(level, (BANDS, BAND_POOL), p=weight / weight.sum())
+    return octave * SAMPLES + rng.integers(0, SAMPLES, octave.shape)
+
+
+def band_keys(prints: list[str]) -> list[np.ndarray]:
+    """Keys (int64) under which each fingerprint is filed; none for the empty one.
+
+    A band's key is what stands at the first BAND_SAMPLES of its places where the walk hasn't ended, so two fingerprints
+    of likeness s share a band with probability s ** BAND_SAMPLES, and one of all BANDS with 0.992 at s = LEAST. Where the last
+    octave weighs so little that a fingerprint without it could be that near, keys without it are added.
+    """
+    raw = [np.frombuffer(p.encode(), np.uint8) for p in prints]
+    wanted: dict[int, list[int]] = {}
+    for i, x in enumerate(raw):
+        level = len(x) // SAMPLES
+        if level:
+            wanted.setdefault(level, []).append(i)
+        if level > 1:
+            last = np.count_nonzero(x[-SAMPLES:] != ord("."))  # the octaves before weigh as much as the last one would in full
+            if last <= (1 - LEAST) * (last + SAMPLES):
+                wanted.setdefault(level - 1, []).append(i)
+    keys: list[list[np.ndarray]] = [[] for _ in prints]
+    for level, rows in wanted.items():
+        spots = _spots(level)
+        mark = ((np.arange(BANDS, dtype=np.int64) << 6 | min(level, 63)) << 3) << 4 * BAND_SAMPLES
+        for lo in range(0, len(rows), 512):
+            part = rows[lo : lo + 512]
+            x = np.stack([raw[i][: level * SAMPLES] for i in part])[:, spots]
+            live = x != ord(".")
+            nth = np.cumsum(live, axis=2, dtype=np.int64)
+            live &= nth <= BAND_SAMPLES
+            digit = np.where(x > 57, x - 87, x - 48).astype(np.int64)
+            held = np.where(live, digit << 4 * (np.clip(nth, 1, BAND_SAMPLES) - 1), 0).sum(axis=2)
+            own = mark + held + (live.sum(axis=2) << 4 * BAND_SAMPLES)
+            for i, k, some in zip(part, own, live.any(axis=2), strict=True):
+                keys[i].append(k[some])
+    return [np.concatenate(k) if k else np.zeros(0, np.int64) for k in keys]
+
+
+def near_pairs(prints: DataFrame, least: float = LEAST) -> DataFrame:
+    """Pairs of different fingerprints with a likeness of ``least`` (LEAST or more) or more, found by banding.
 
     ``prints`` has doc_id and fingerprint. Equal fingerprints are one class, named by its least
-    doc_id; a band is BAND_SAMPLES sampled places of the octaves that both walks reach in full. Pairs are
-    between classes: class_a < class_b and likeness. Rows with a null doc_id don't count; an empty table gives no rows. A band's
-    classes all meet each other in its join, so this is for tables without very large groups of near copies.
+    doc_id. Pairs are between classes: class_a, class_b (class_a < class_b, or equal where one id has several
+    fingerprints) and likeness. Rows with a null doc_id or an empty text don't count; an empty table gives no rows. Bands carry
+    names only; one with over BLOCK classes is dealt out as pairs of blocks, so no task meets a whole group.
     """
-    classes = prints.where("doc_id is not null and fingerprint <> ''").groupBy("fingerprint").agg(F.min("doc_id").alias("class"))
-    rng = np.random.Generator(np.random.PCG64(5))
-    octaves = (F.length("fingerprint") / SAMPLES).cast("int")
-    keys = []
-    for b in range(BANDS):
-        spots = rng.choice(SAMPLES, BAND_SAMPLES, replace=False)
-        # an edit may move the end of the walk to the next octave: bands lie in the last octave but one and in the one before
-        for back in (1, 2):
-            base = (octaves - 1 - back) * SAMPLES
-            keys.append(F.when(octaves > back, F.concat(F.lit(f"{b}:"), (octaves - back).cast("string"), F.lit(":"), *(F.substring("fingerprint", base + int(s) + 1, F.lit(1)) for s in spots))))
-        keys.append(F.when(octaves == 1, F.concat(F.lit(f"{b}:0:"), *(F.substring("fingerprint", F.lit(int(s) + 1), F.lit(1)) for s in spots))))
-    bands = classes.select("class", "fingerprint", F.explode(F.array_distinct(F.filter(F.array(*keys), lambda k: k.isNotNull()))).alias("band"))
-    a, b = bands.select("band", F.col("class").alias("class_a"), F.col("fingerprint").alias("a")), bands.select("band", F.col("class").alias("class_b"), F.col("fingerprint").alias("b"))
+
+    def filed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for lo in range(0, batch.num_rows, 4096):
+                part = batch.slice(lo, 4096)
+                keys = band_keys(part.column(2).to_pylist())
+                row = np.repeat(np.arange(len(keys)), [len(k) for k in keys])
+                yield pa.RecordBatch.from_arrays([part.column(0).take(pa.array(row)), part.column(1).take(pa.array(row)), pa.array(np.concatenate(keys))], names=["class", "h", "band"])
 
     def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -143,8 +183,23 @@ def near_pairs(prints: DataFrame, least: float = 0.8) -> DataFrame:
             out = pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(like, pa.float64())], names=["class_a", "class_b", "likeness"])
             yield out.filter(pa.array([x >= least for x in like], pa.bool_()))
 
-    pairs = a.join(b, "band").where("class_a < class_b").select("class_a", "class_b", "a", "b").dropDuplicates(["class_a", "class_b"])
-    return pairs.mapInArrow(verify, "class_a bigint, class_b bigint, likeness double")
+    classes = prints.where("doc_id is not null and fingerprint <> ''").groupBy("fingerprint").agg(F.min("doc_id").alias("class"))
+    classes = durable(classes.select("class", F.xxhash64("fingerprint").alias("h"), "fingerprint"))
+    bands = durable(classes.mapInArrow(filed, "class bigint, h bigint, band bigint"))
+    sizes = durable(bands.groupBy("band").agg(F.count("*").alias("n")).where(F.col("n") > 1))
+    side = lambda rows, x: rows.withColumn(x, F.struct("class", "h")).drop("class", "h", "n", "own")
+    cold = bands.join(if_small(durable(sizes.where(F.col("n") <= BLOCK))), "band")
+    few = side(cold, "a").join(side(cold, "b"), "band").where("a < b").select("a", "b")
+    blocks = F.ceil(F.col("n") / BLOCK)
+    hot = bands.join(if_small(durable(sizes.where(F.col("n") > BLOCK))), "band").withColumn("own", F.pmod(F.xxhash64("class", "h", "band"), blocks))
+    left = side(hot.withColumns({"low": F.col("own"), "high": F.explode(F.sequence("own", blocks - 1))}), "a")
+    right = side(hot.withColumns({"high": F.col("own"), "low": F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("own")))}), "b")
+    many = left.join(right, ["band", "low", "high"]).where("a <> b and (low < high or a < b)").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
+    pairs = few.unionByName(many).distinct()
+    for x in ("a", "b"):
+        own = classes.select(F.struct("class", "h").alias(x), F.col("fingerprint").alias(f"print_{x}"))
+        pairs = pairs.join(own, x)
+    return pairs.select(F.col("a.class").alias("class_a"), F.col("b.class").alias("class_b"), "print_a", "print_b").mapInArrow(verify, "class_a bigint, class_b bigint, likeness double")
 
 
 def _edited(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -169,12 +224,16 @@ def _edited(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             texts = [t for _, t in ready] + edited + [nxt if i + 1 == k or ready[i + 1][1] is not nxt else "" for i, nxt in enumerate(after)]
             prints = fingerprints(texts)
             nexts = [prints[i + 1] if i + 1 < k and ready[i + 1][1] is after[i] else prints[2 * k + i] for i in range(k)]
+            keys = [set(x.tolist()) for x in band_keys(prints)]
+            next_keys = [keys[i + 1] if i + 1 < k and ready[i + 1][1] is after[i] else keys[2 * k + i] for i in range(k)]
+            near = [[likeness(a, b) for a, b in zip(prints[:k], others, strict=True)] for others in (prints[k : 2 * k], nexts)]
+            met = [[a == b or not x.isdisjoint(y) for a, b, x, y in zip(prints[:k], others, keys[:k], theirs, strict=True)] for others, theirs in ((prints[k : 2 * k], keys[k : 2 * k]), (nexts, next_keys))]
             yield pa.RecordBatch.from_arrays([
                 pa.array([d for d, _ in ready], pa.int64()), pa.array([len(t) for _, t in ready], pa.int64()),
                 pa.array([hashlib.sha256(t.encode("utf-8", "surrogatepass")).hexdigest() for t in edited]), pa.array(prints[:k], pa.string()), pa.array(prints[k : 2 * k], pa.string()),
-                pa.array([likeness(a, b) for a, b in zip(prints[:k], prints[k : 2 * k], strict=True)], pa.float64()),
-                pa.array([likeness(a, b) for a, b in zip(prints[:k], nexts, strict=True)], pa.float64()),
-            ], names=["doc_id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", "near_edited", "near_next"])
+                *(pa.array(x, pa.float64()) for x in near),
+                *(pa.array([m and x >= LEAST for m, x in zip(own, like, strict=True)], pa.bool_()) for own, like in zip(met, near, strict=True)),
+            ], names=["doc_id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", "near_edited", "near_next", "found_edited", "found_next"])
 
 
 def compare_with_edited(docs: DataFrame) -> DataFrame:
@@ -183,6 +242,7 @@ def compare_with_edited(docs: DataFrame) -> DataFrame:
     The next document is the one with the next smaller doc_id, after the last the first (a null id is
     the smallest; rows of one id follow each other by text). A text's edited form has its last
     floor(n/2) characters replaced by the next text's first as many, or all. Null texts are empty.
+    found_edited and found_next say whether banding retrieves the other text and its likeness confirms it as near.
     Documents are dealt into ranges of ids, and the first of each range goes to the
     range before it too: no global order is made in one task. Rows of one id, however often it repeats, share a range. Repeated
     rows are each compared; a very long text is walked alone, in time in proportion to its length; an empty table gives no

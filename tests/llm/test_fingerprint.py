@@ -44,6 +44,8 @@ def check_edited(docs, got):
         assert (r.n_chars, r.edited_sha256) == (len(t), hashlib.sha256(edited.encode()).hexdigest())
         f, e, x = P.fingerprints([t, edited, n])
         assert (r.fingerprint, r.edited_fingerprint) == (f, e) and (r.near_edited, r.near_next) == (P.likeness(f, e), P.likeness(f, x))
+        k, ke, kx = (set(y.tolist()) for y in P.band_keys([f, e, x]))
+        assert r.found_edited == (r.near_edited >= P.LEAST and (f == e or bool(k & ke))) and r.found_next == (r.near_next >= P.LEAST and (f == x or bool(k & kx)))
 
 
 def test_every_document_meets_the_next(spark, sf):
@@ -62,14 +64,43 @@ def test_odd_rows(spark, odd, nothing):
         check_edited(rows, {r.doc_id: r for r in P.compare_with_edited(df).collect()})
 
 
-def test_near_pairs(spark):
+def near_rows(chars):
+    """Texts of many lengths, borders of octaves among them, each with an edited form and a copy."""
     rng = np.random.Generator(np.random.PCG64(8))
     rows = []
-    for i in range(120):
-        text = "".join(rng.choice(list("abcdefghij "), 800 + 7 * i))
-        rows += [(3 * i, text), (3 * i + 1, text[: len(text) // 2] + "?" + text[len(text) // 2 :]), (3 * i + 2, text)]
-    prints = P.fingerprint_documents(spark.createDataFrame(rows, "doc_id bigint, text string"))
-    got = {(r.class_a, r.class_b) for r in P.near_pairs(prints).collect()}
+    for i, n in enumerate(chars):
+        text = "".join(rng.choice(list("abcdefghij "), n))
+        at = int(rng.integers(0, n))
+        rows += [(3 * i, text), (3 * i + 1, text[:at] + "??"[: 1 + i % 2] + text[at:]), (3 * i + 2, text)]
+    return rows
+
+
+def all_pairs(rows):
     p = dict(zip([r[0] for r in rows], P.fingerprints([r[1] for r in rows]), strict=True))
-    want = {(a, b) for a in p for b in p if a < b and a % 3 != 2 and b % 3 != 2 and p[a] != p[b] and P.likeness(p[a], p[b]) >= 0.8}
-    assert got <= want and len(got) >= 0.9 * len(want) and len(want) > 20
+    return {(a, b) for a in p for b in p if a < b and a % 3 != 2 and b % 3 != 2 and p[a] != p[b] and P.likeness(p[a], p[b]) >= 0.8}
+
+
+def test_near_pairs(spark, monkeypatch):
+    rows = near_rows([*range(24, 72), *range(100, 148), *range(800, 1600, 16)])
+    want = all_pairs(rows)
+    octaves = {len(f) for f in P.fingerprints([r[1] for r in rows])}
+    assert len(want) > 60 and len(octaves) > 4
+    prints = spark.createDataFrame([(i, f) for (i, _), f in zip(rows, P.fingerprints([r[1] for r in rows]), strict=True)] + [(None, "ab"), (9999, "")], "doc_id bigint, fingerprint string")
+    got = [(r.class_a, r.class_b) for r in P.near_pairs(prints).collect()]
+    assert set(got) <= want and len(set(got)) == len(got) and len(got) >= 0.97 * len(want)
+    monkeypatch.setattr(P, "BLOCK", 2)  # every band that three share is dealt out in blocks
+    assert sorted(got) == sorted((r.class_a, r.class_b) for r in P.near_pairs(prints).collect())
+    assert P.near_pairs(prints.where("false")).count() == 0
+
+
+def test_bands_find_what_is_near():
+    """Over lengths from one octave up: the share of near pairs that meet in a band, walks that end in different octaves included."""
+    borders = [n + d for n in (64, 128, 256, 512) for d in range(-6, 4)]
+    rows = near_rows([20 + 3 * (i % 400) for i in range(1200)] + borders * 100)
+    prints = P.fingerprints([r[1] for r in rows])
+    keys = [set(k.tolist()) for k in P.band_keys(prints)]
+    near = [i for i in range(0, len(rows), 3) if P.LEAST <= P.likeness(prints[i], prints[i + 1]) < 1]
+    split = [i for i in near if len(prints[i]) != len(prints[i + 1])]
+    met = lambda some: sum(not keys[i].isdisjoint(keys[i + 1]) for i in some) / len(some)
+    assert len(near) > 300 and len(split) > 30 and met(near) >= 0.98 and met(split) >= 0.9
+    assert sum(not keys[i].isdisjoint(keys[i + 3]) for i in range(0, 3000, 3)) < 100  # unrelated texts
