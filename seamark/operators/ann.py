@@ -6,6 +6,7 @@ to it and its candidates are scored exactly.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -17,12 +18,24 @@ from ..functions.vector import cosine
 
 SAMPLE, ITERATIONS, SEED = 20_000, 12, 7
 EXACT_BELOW = 50_000
+#: Cells: about the root of the vectors' number, so many at most; which share of the exact neighbours the probes have to find.
+LEAST_CELLS, MOST_CELLS, RECALL = 16, 1024, 0.95
 
 
 def backend(vectors: int, exact_below: int = EXACT_BELOW) -> str:
     return "exact" if vectors < exact_below else "cells"
 
 
+def cells_for(vectors: int) -> int:
+    return max(LEAST_CELLS, min(MOST_CELLS, math.isqrt(vectors)))
+
+
+def probed(queries: DataFrame, centres: np.ndarray, probes: int) -> list[int]:
+    """Cells that one of ``queries`` (a request's own) probes."""
+    q = np.array([r.vector for r in queries.where("vector is not null").select("vector").collect()], np.float64)
+    return np.unique(np.argsort(-(q @ centres.T), axis=1, kind="stable")[:, :probes]).tolist() if len(q) else []
+
+
 def sampled(vectors: DataFrame, sample: int = SAMPLE) -> np.ndarray:
     """At most ``sample`` unit vectors: those with the smallest hashes of their ids."""
     rows = vectors.where("embedding is not null").orderBy(F.xxhash64("vector_id"), "vector_id").limit(sample).select("embedding").collect()

@@ -70,10 +70,76 @@ def test_versions(spark, project, monkeypatch):
     with pytest.raises(OSError):  # another writer was first
         e.store._publish(e.store.version(), {})
     folders = {x.getPath().getName() for x in e.store._fs.listStatus(e.store._path(f"{e.store.root}/data"))}
-    named = {x.split("/")[1] for v in e.store._versions() for x in e.store.manifest(v).values()}
+    named = {x.split("/")[1] for v in e.store._versions() for x in e.store.folders(v)}
     assert folders == named and len(e.store._versions()) == 2  # what the crash left is gone
 
 
+def rows_of(store):
+    """All tables but the meta, in an order."""
+    return {t: sorted(map(repr, store.read(t).drop("cell").collect())) for t in ("files", "chunks", "vectors")}
+
+
+def test_parts_say_what_a_whole_write_says(spark, project, monkeypatch):
+    from seamark.sources import store
+
+    monkeypatch.setattr(store, "SHARE", 100.0)
+    e = Engine(spark, str(project))
+    e.sync()
+    first = e.store.manifest(e.store.version())
+    (project / "auth.py").write_text("def other():\n    return 1\n")
+    os.utime(project / "cache.rs", (1, 1))
+    e.sync()
+    os.remove(project / "geo/dist.py")
+    (project / "new.py").write_text("def haversine(a, b):\n    return a - b\n")
+    e.sync()
+    parts = e.store.manifest(e.store.version())
+    assert [len(parts[t]) for t in ("files", "chunks", "vectors")] == [3, 3, 3] and parts["chunks"][0] == first["chunks"][0]
+    assert [p["n"] for p in parts["chunks"]] == [3, 1, 1]  # a changed file's rows and no others
+    assert {r.path: r.last_modified for r in e.store.read("files").collect()}["cache.rs"] == 1
+    assert sorted(r.file_path for r in e._index()[0].collect()) == ["auth.py", "cache.rs", "new.py"]
+    assert [e.store.count(t) for t in ("files", "chunks", "vectors")] == [3, 3, 3]
+    assert all(r.rows == 0 for r in inspect.violations(*(e.store.read(x) for x in ("files", "chunks", "vectors"))).collect())
+    before = rows_of(e.store)
+    monkeypatch.setattr(store, "SHARE", 0.0)
+    none = e.store.read("files").where("false")
+    e.store.change({t: (e.store.read(t).where("false"), none if t != "vectors" else none.selectExpr("file_id as vector_id")) for t in ("files", "chunks", "vectors")})
+    assert rows_of(e.store) == before and {len(x) for x in e.store.manifest(e.store.version()).values()} == {1}
+
+
+def test_search_by_cells(spark, tmp_path):
+    from pyspark.sql import functions as F
+
+    from seamark.operators import ann, search
+
+    for i in range(60):
+        (tmp_path / f"f{i}.md").write_text(f"# part {i}\nword{i} word{i % 7} common text\n")
+    exact = Engine(spark, str(tmp_path), str(tmp_path / ".other"))
+    settings_low = settings.merged(settings.DEFAULTS, {"search": {"exact_below": 50}})
+    e = Engine(spark, str(tmp_path), settings=settings_low)
+    e.sync()
+    assert e.status()["search_backend"] == "cells" and exact.status()["search_backend"] == "exact"
+    centres, probes = e._cells()
+    assert len(centres) == ann.LEAST_CELLS and e.store.read("vectors").where(F.col("cell") < 0).count() == 0
+    (tmp_path / "late.md").write_text("# late\nzebra crossing\n")
+    e.sync()
+    late = e._index()[0].where("file_path = 'late.md'").join(e.store.read("vectors"), "vector_id").select(F.col("vector_id").alias("qid"), F.col("embedding").alias("vector"), "cell")
+    assert e.store.count("vectors") == 61 and ann.probed(late, centres, 1) == [late.first().cell]  # filed like the others
+    assert len(e.search("# late zebra crossing", 5)) == 5
+    # every vector whose number twenty divides asks all others
+    vectors = e.store.read("vectors")
+    asked = durable(vectors.where("vector_id % 20 = 0").select(F.col("vector_id").alias("qid"), F.col("embedding").alias("vector")))
+    found = None
+    for r in asked.select("qid").collect():
+        own = asked.where(F.col("qid") == r.qid)
+        got = search.knn_batch(vectors.where(F.col("cell").isin(ann.probed(own, centres, probes))), own, 10)
+        found = got if found is None else found.unionByName(got)
+    assert ann.recall(found, search.knn_batch(vectors, asked, 10)).agg(F.avg("recall")).first()[0] >= 0.9
+    for i in range(30):
+        os.remove(tmp_path / f"f{i}.md")
+    e.sync()
+    assert e.status()["search_backend"] == "exact" and e.search("common text", 3)
+
+
 def test_another_model_rebuilds(spark, project):
     from dataclasses import replace
 
