@@ -7,11 +7,13 @@ import json
 import os
 import sys
 import uuid
+from pathlib import Path
 from typing import IO, Any
 
 from pyspark.sql.streaming import StreamingQuery
 
 from .engine import Engine
+from .operators.embed import RemoteEncoder
 from .operators.inspect import large_hint
 from .operators.search import server_limit
 from .session import local_session
@@ -65,8 +67,14 @@ class Server:
             said = self.engine.status()
             return said | {"hint": "a static model is faster here"} if large_hint(said["files"], self.engine.spec.static) else said
         if name == "set_model":
-            spec = cfg.model(args["model"])  # an unknown name is an error before anything is touched
-            raise ValueError(f"{spec.name} needs weights, which this installation doesn't have")
+            config = Path(self.engine.root) / INDEX_DIR / "config.toml"
+            registry = _registry(config)
+            spec = registry.select(args["model"])  # an unknown name is an error before anything is touched
+            if spec.url is None:
+                raise ValueError(f"{spec.name} needs weights, which this installation doesn't have")
+            self.engine = _engine(self.engine.spark, self.engine.root, registry)
+            cfg.save_override(registry.settings, cfg.load(cfg.global_config(os.environ.get("HOME"))), config)
+            return {"model": spec.name, "dimensions": spec.dimensions} | (self.flight.run(wait=True) or {})
         raise ValueError(f"no tool {name!r}")
 
     def serve(self, lines: IO[str] = sys.stdin, out: IO[str] = sys.stdout) -> None:
@@ -111,27 +119,68 @@ def parser() -> argparse.ArgumentParser:
     d.add_parser("chunks").add_argument("path")
     m = sub.add_parser("models").add_subparsers(dest="what", required=True)
     m.add_parser("list")
-    for name in ("set", "set-default", "remove"):
-        m.add_parser(name).add_argument("name")
+    for name in ("set", "set-default", "remove", "add", "add-remote"):
+        x = m.add_parser(name)
+        x.add_argument("name")
+        if name.startswith("add"):
+            x.add_argument("--dimensions", type=int, required=True)
+            x.add_argument("--max-length", type=int, default=448)
+            x.add_argument("--query-prefix")
+            x.add_argument("--doc-prefix")
+            x.add_argument("--note", default="added")
+        if name == "add":
+            x.add_argument("--pooling", choices=("mean", "cls"), default="mean")
+            x.add_argument("--static", action="store_true")
+            x.add_argument("--params-m", type=int, default=0, help="millions of parameters, for the estimate of memory")
+        if name == "add-remote":
+            x.add_argument("--url", required=True)
+            x.add_argument("--key", help="the service's key, better $NAME for the environment's")
     return p
 
 
+def _registry(config: Path) -> cfg.Registry:
+    return cfg.Registry(cfg.load(cfg.global_config(os.environ.get("HOME")), config), config.with_name("models.json"))
+
+
+def _engine(spark, root: str, registry: cfg.Registry) -> Engine:
+    """An engine with the selected model if a service has it, else with stub vectors."""
+    spec = registry.added.get(registry.settings["model"]["name"])
+    if spec is None or spec.url is None:
+        return Engine(spark, root)
+    key = cfg.expanded(spec.key or "")
+    return Engine(spark, root, settings=registry.settings, spec=spec, embed=lambda: RemoteEncoder(spec.url, spec.name, key, dimensions=spec.dimensions))
+
+
+def _models(args: argparse.Namespace, config: Path) -> int:
+    """Added models are the project's; ``set`` selects one for the project and ``set-default`` for all projects."""
+    shared, registry = cfg.global_config(os.environ.get("HOME")), _registry(config)
+    if args.what == "list":
+        for r in registry.rows():
+            print(f"{'*' if r['active'] else ' '} {r['name']} {r['dimensions']} dims, {r['ram_mb']} MB: {r['note']}")
+    elif args.what == "remove":
+        print("removed" if registry.remove(args.name) else "not an added model")
+    elif args.what in ("add", "add-remote"):
+        remote = args.what == "add-remote"
+        spec = cfg.ModelSpec(args.name, args.dimensions, 0, 0, 0 if remote else args.params_m, args.query_prefix, args.doc_prefix, "mean" if remote else args.pooling, not remote and args.static, 4, args.max_length, False, args.note, args.url if remote else None, args.key if remote else None)
+        print(f"added {registry.add(spec).name}")
+    elif args.what == "set":
+        registry.select(args.name)
+        cfg.save_override(registry.settings, cfg.load(shared), config)
+    else:
+        every = cfg.Registry(cfg.load(shared))
+        every.added = registry.added
+        every.select(args.name)
+        cfg.save_override(every.settings, cfg.DEFAULTS, shared)
+    return 0
+
+
 def main(argv: list[str] | None = None, spark=None) -> int:
     args = parser().parse_args(argv)
     root = project_root(args.root, os.environ.get("SEAMARK_PROJECT_DIR"), home=os.environ.get("HOME"))
     config = root / INDEX_DIR / "config.toml"
     if args.command == "models":
-        registry = cfg.Registry(cfg.load(config))
-        if args.what == "list":
-            for r in registry.rows():
-                print(f"{'*' if r['active'] else ' '} {r['name']} {r['dimensions']} dims, {r['ram_mb']} MB: {r['note']}")
-        elif args.what == "remove":
-            print("removed" if registry.remove(args.name) else "not an added model")
-        else:
-            registry.select(args.name)
-            cfg.save_override(registry.settings, cfg.DEFAULTS, config)
-        return 0
-    engine = Engine(spark or local_session(), str(root))
+        return _models(args, config)
+    engine = _engine(spark or local_session(), str(root), _registry(config))
     if args.command in ("init", "sync"):
         print(json.dumps(engine.sync(force=args.command == "init" or args.force)))
     elif args.command == "search":

@@ -29,7 +29,7 @@ class Engine:
     def __init__(self, spark: SparkSession, root: str, index: str | None = None, settings: dict | None = None, spec: cfg.ModelSpec = STUB, embed=None, rerank=None, home: str | None = None) -> None:
         self.spark, self.remote = spark, "://" in root
         self.root = root if self.remote else str(project_root(root, home=home or os.path.expanduser("~")))
-        self.settings = settings or (cfg.DEFAULTS if self.remote else cfg.load(f"{self.root}/{INDEX_DIR}/config.toml"))
+        self.settings = settings or (cfg.DEFAULTS if self.remote else cfg.load(cfg.global_config(home), f"{self.root}/{INDEX_DIR}/config.toml"))
         self.spec, self.embed, self.rerank = spec, embed, rerank
         self.store = Store(spark, index or f"{self.root}/{INDEX_DIR}/index")
         self.cap = self.settings["sync"]["max_chunk_bytes"]

@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import json
+import time
+import urllib.error
 import urllib.request
 from collections.abc import Callable, Iterator
 from concurrent.futures import ThreadPoolExecutor
@@ -118,10 +120,16 @@ class OnnxEncoder:
 
 
 class RemoteEncoder:
-    """A service that answers POST /embeddings with {"data": [{"index", "embedding"}]}."""
+    """A service that answers POST /embeddings with {"data": [{"index", "embedding"}]}.
 
-    def __init__(self, url: str, model: str, key: str = "", batch: int = 32, concurrency: int = 4) -> None:
-        self.url, self.model, self.key, self.batch, self.concurrency = url.rstrip("/"), model, key, batch, concurrency
+    What a busy or failing service (429, 5xx, no connection) refuses is asked again, RETRIES times, after longer and longer
+    waits; with ``dimensions`` vectors of another width are an error.
+    """
+
+    RETRIES, WAIT = 4, 0.5
+
+    def __init__(self, url: str, model: str, key: str = "", batch: int = 32, concurrency: int = 4, dimensions: int | None = None) -> None:
+        self.url, self.model, self.key, self.batch, self.concurrency, self.dimensions = url.rstrip("/"), model, key, batch, concurrency, dimensions
 
     @staticmethod
     def parsed(answer: dict, expected: int) -> list[list[float]]:
@@ -134,8 +142,18 @@ class RemoteEncoder:
     def _ask(self, texts: list[str]) -> list[list[float]]:
         head = {"Content-Type": "application/json"} | ({"Authorization": f"Bearer {self.key}"} if self.key else {})
         request = urllib.request.Request(f"{self.url}/embeddings", json.dumps({"model": self.model, "input": texts}).encode(), head)
-        with urllib.request.urlopen(request, timeout=120) as f:
-            return self.parsed(json.load(f), len(texts))
+        for turn in range(self.RETRIES + 1):
+            try:
+                with urllib.request.urlopen(request, timeout=120) as f:
+                    found = self.parsed(json.load(f), len(texts))
+                break
+            except urllib.error.URLError as e:
+                if turn == self.RETRIES or (isinstance(e, urllib.error.HTTPError) and e.code != 429 and e.code < 500):
+                    raise
+                time.sleep(self.WAIT * 2**turn)
+        if self.dimensions and any(len(v) != self.dimensions for v in found):
+            raise ValueError(f"{self.model} gives vectors of another width than {self.dimensions}")
+        return found
 
     def __call__(self, texts: list[str]) -> np.ndarray:
         parts = [texts[k : k + self.batch] for k in range(0, len(texts), self.batch)]

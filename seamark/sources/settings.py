@@ -3,10 +3,11 @@
 from __future__ import annotations
 
 import copy
+import json
 import os
 import re
 import tomllib
-from dataclasses import dataclass, replace
+from dataclasses import asdict, dataclass, replace
 from pathlib import Path
 from typing import Any
 
@@ -26,6 +27,8 @@ class ModelSpec:
     max_length: int
     rerank: bool
     note: str
+    url: str | None = None  # of a service; None for a model of one's own
+    key: str | None = None  # its key, or $NAME for the environment's
 
     def ram_mb(self) -> int:
         """A rough estimate: four bytes a parameter for static tables, one for quantised encoders."""
@@ -114,26 +117,55 @@ def model(name: str, extra: tuple[ModelSpec, ...] = ()) -> ModelSpec:
     raise ValueError(f"no model {name!r}; known: {', '.join(m.name for m in (*MODELS, *extra))}")
 
 
+def global_config(home: str | None = None) -> Path:
+    """Settings of all projects; a project's own lie over them."""
+    return Path(home or os.path.expanduser("~")) / ".config" / "seamark" / "config.toml"
+
+
 class Registry:
-    """Built-in models and added ones, with the selected one."""
+    """Built-in models and added ones, with the selected one; ``path`` is the file that keeps the added ones."""
 
-    def __init__(self, settings: dict | None = None) -> None:
+    def __init__(self, settings: dict | None = None, path: str | Path | None = None) -> None:
         self.settings = copy.deepcopy(settings or DEFAULTS)
-        self.added: dict[str, ModelSpec] = {}
+        self.path = Path(path) if path else None
+        said = json.loads(self.path.read_text()) if self.path and self.path.is_file() else []
+        self.added: dict[str, ModelSpec] = {m["name"]: ModelSpec(**m) for m in said}
+
+    def _keep(self) -> None:
+        if self.path:
+            self.path.parent.mkdir(parents=True, exist_ok=True)
+            new = self.path.with_suffix(".new")
+            new.write_text(json.dumps([asdict(m) for m in self.added.values()], indent=1))
+            new.replace(self.path)
 
     def select(self, name: str) -> ModelSpec:
         spec = model(name, tuple(self.added.values()))
         self.settings = merged(self.settings, {"model": {"name": name, "max_length": spec.max_length}})
         return spec
 
-    def add(self, spec: ModelSpec) -> None:
-        self.added[spec.name] = replace(spec, name=normalized_repo(spec.name))
+    def add(self, spec: ModelSpec) -> ModelSpec:
+        """Add a model, or replace an added one of that name; a service keeps its name as given."""
+        if spec.dimensions <= 0 or spec.max_length <= 0:
+            raise ValueError("dimensions and length must be positive")
+        if spec.url is not None and not re.match(r"https?://", spec.url):
+            raise ValueError(f"{spec.url!r} is no address of a service")
+        spec = spec if spec.url else replace(spec, name=normalized_repo(spec.name))
+        if any(m.name == spec.name for m in MODELS):
+            raise ValueError(f"{spec.name} is built in")
+        self.added[spec.name] = spec
+        self._keep()
+        return spec
 
     def remove(self, name: str) -> bool:
-        """Forget an added model; the selected one stays."""
+        """Forget an added model; the selected one and the built-in ones stay."""
         if self.settings["model"]["name"] == name:
             raise ValueError(f"{name} is in use")
-        return self.added.pop(name, None) is not None
+        if any(m.name == name for m in MODELS):
+            raise ValueError(f"{name} is built in")
+        found = self.added.pop(name, None) is not None
+        if found:
+            self._keep()
+        return found
 
     def rows(self) -> list[dict]:
         now = self.settings["model"]["name"]

@@ -233,6 +233,62 @@ def test_settings(tmp_path):
     assert r.select("minishlab/potion-base-32M").static and settings.rerank_enabled(r.settings, settings.model("minishlab/potion-base-32M"))
 
 
+def test_models_are_kept(tmp_path, monkeypatch, capsys):
+    monkeypatch.setenv("HOME", str(tmp_path / "home"))
+    (tmp_path / "home").mkdir()
+    (tmp_path / "p").mkdir()
+    run = lambda *args: main(["--root", str(tmp_path / "p"), "models", *args]) or capsys.readouterr().out
+    assert run("add", "https://huggingface.co/a/b", "--dimensions", "32", "--static") == "added a/b\n"
+    assert "added far" in run("add-remote", "far", "--dimensions", "8", "--url", "https://x.example/v1", "--key", "$K")
+    assert "a/b 32 dims" in run("list") and "far 8 dims" in run("list")
+    run("set", "a/b")
+    assert "* a/b" in run("list")
+    with pytest.raises(ValueError):
+        run("remove", "a/b")  # in use
+    run("set-default", "minishlab/potion-base-32M")
+    assert "* a/b" in run("list")  # the project's own choice lies over it
+    run("set", "far")
+    assert run("remove", "a/b") == "removed\n" and run("remove", "a/b") == "not an added model\n" and "a/b" not in run("list")
+    for bad in (("remove", settings.DEFAULT_MODEL), ("add", settings.DEFAULT_MODEL, "--dimensions", "3"), ("add", "c/d", "--dimensions", "0"), ("add-remote", "x", "--dimensions", "3", "--url", "ftp://x"), ("set", "none")):
+        with pytest.raises(ValueError):
+            run(*bad)
+    assert settings.load(settings.global_config())["model"]["name"] == "minishlab/potion-base-32M"
+
+
+def test_a_service_embeds(spark, project, monkeypatch, tmp_path_factory):
+    import threading
+    from http.server import BaseHTTPRequestHandler, HTTPServer
+
+    seen = []
+
+    class Service(BaseHTTPRequestHandler):
+        def do_POST(self):
+            ask = json.loads(self.rfile.read(int(self.headers["Content-Length"])))
+            seen.append(self.headers["Authorization"])
+            busy = len(seen) == 1  # asked again
+            rows = [{"index": i, "embedding": [1.0, float("evict" in t), float("haversine" in t)]} for i, t in enumerate(ask["input"])]
+            self.send_response(503 if busy else 200)
+            self.end_headers()
+            self.wfile.write(b"" if busy else json.dumps({"data": rows}).encode())
+
+        def log_message(self, *_):
+            pass
+
+    service = HTTPServer(("127.0.0.1", 0), Service)
+    threading.Thread(target=service.serve_forever, daemon=True).start()
+    monkeypatch.setenv("HOME", str(tmp_path_factory.mktemp("home")))
+    monkeypatch.setenv("SERVICE_KEY", "secret")
+    url = f"http://127.0.0.1:{service.server_port}"
+    assert main(["--root", str(project), "models", "add-remote", "far", "--dimensions", "3", "--url", url, "--key", "$SERVICE_KEY"]) == 0
+    server = Server(Engine(spark, str(project)))
+    said = server.call("set_model", {"model": "far"})
+    assert (said["dimensions"], said["files_indexed"]) == (3, 3) and set(seen) == {"Bearer secret"} and len(seen) > 1
+    assert sorted(r.embedding for r in server.engine.store.read("vectors").collect()) == [[1, 0, 0], [1, 0, 1], [1, 1, 0]]
+    assert server.call("search_code", {"query": "evict"})[0]["file_path"] == "cache.rs"
+    assert settings.load(project / tree.INDEX_DIR / "config.toml")["model"]["name"] == "far"  # and the next start keeps the index
+    service.shutdown()
+
+
 def test_corpora(spark, tmp_path):
     (tmp_path / "p.jsonl").write_text('{"q": "a", "c": "b"}\n{"q": " ", "c": "b"}\n')
     assert corpora.read_pairs(spark, str(tmp_path / "p.jsonl")).count() == 1
