@@ -139,9 +139,11 @@ def merge_small(chunks: Column, cap: int = CAP) -> Column:
 
 
 def capped(text: Column, chunks: Column, cap: int = CAP) -> Column:
+    """``chunks`` of ``text`` cut to the cap; null and empty texts have none, as in ``chunk_files``."""
+
     @F.arrow_udf(f"array<{CHUNK}>")
     def run(texts: pa.Array, lists: pa.Array) -> pa.Array:
-        return _arrow(pieces((t or "").encode(), [tuple(c.values()) for c in x or []], cap) for t, x in zip(texts.to_pylist(), lists.to_pylist(), strict=True))
+        return _arrow(pieces(t.encode(), [tuple(c.values()) for c in x or []], cap) if t else [] for t, x in zip(texts.to_pylist(), lists.to_pylist(), strict=True))
 
     return run(text, chunks)
 

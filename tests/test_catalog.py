@@ -1,3 +1,7 @@
+from pathlib import Path
+
+import pyarrow as pa
+import pyarrow.parquet as pq
 import pytest
 
 import __spark_entry__ as entry
@@ -26,3 +30,21 @@ def test_ann_recall(spark, sf):
     found = catalog.queries()["ann_cells"](spark, sf)
     exact = search.knn_batch(catalog._vectors(spark, sf), catalog._asked(spark, sf), 10)
     assert ann.recall(found, exact).agg(F.avg("recall")).first()[0] >= 0.9
+
+
+def swapped(folder, sf, name, columns):
+    """A copy of the tables in ``sf`` by links, with ``name`` made of ``columns``."""
+    for f in Path(sf).glob("*.parquet"):
+        if f.stem != name:
+            (folder / f.name).symlink_to(f)
+    pq.write_table(pa.table(columns), folder / f"{name}.parquet")
+    return str(folder)
+
+
+@pytest.mark.parametrize("odd", [(7, ""), (7, None), (None, "x" * 3000)], ids=["empty text", "null text", "null id"])
+def test_cap_chunks_of_odd_rows(spark, sf, duck, rows, tmp_path, odd):
+    ids, texts = zip(odd, (1, "x"), (2, "x" * 2048), (3, "x" * 2047 + "é"), (4, "x" * 2045 + "😀" * 600), strict=True)
+    d = swapped(tmp_path, sf, "documents", {"doc_id": pa.array(ids, pa.int64()), "text": pa.array(texts, pa.string()), "lang": ["en"] * 5, "source": ["src1"] * 5})
+    columns, own = rows(catalog.queries()["cap_chunks"](spark, d))
+    assert own == duck(catalog.oracle_sql()["cap_chunks"], d, columns)
+    assert len(own) == 7
